@@ -21,6 +21,18 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end=0)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -30,9 +42,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op2_quality_rules": op2_quality_rules,
+        "op7_line_dedup": op7_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, quality_rules
+
+    return {"op2_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
