@@ -35,6 +35,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_bpe import report
+
+    return report(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
@@ -58,6 +64,7 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op2_quality_rules": op2_quality_rules,
         "op4_chat_format": op4_chat_format,
+        "op5_word_bpe": op5_word_bpe,
         "op8_toxicity": op8_toxicity,
         "op7_line_dedup": op7_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,

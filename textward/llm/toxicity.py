@@ -29,7 +29,7 @@ from .common import ship
 BITS = 20
 MASK = (1 << BITS) - 1
 MAX_ROWS = 8_000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.2, 1.0, 0.5, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 5.0, 1.0
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\~`^+=@"
 
 
