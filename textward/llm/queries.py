@@ -41,6 +41,12 @@ def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_join import linked
+
+    return linked(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
@@ -65,6 +71,7 @@ def queries() -> dict:
         "op2_quality_rules": op2_quality_rules,
         "op4_chat_format": op4_chat_format,
         "op5_word_bpe": op5_word_bpe,
+        "op6_vector_join": op6_vector_join,
         "op8_toxicity": op8_toxicity,
         "op7_line_dedup": op7_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
