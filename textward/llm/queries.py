@@ -27,6 +27,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import report
 
@@ -69,6 +75,7 @@ def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op2_quality_rules": op2_quality_rules,
+        "op3_main_text": op3_main_text,
         "op4_chat_format": op4_chat_format,
         "op5_word_bpe": op5_word_bpe,
         "op6_vector_join": op6_vector_join,
