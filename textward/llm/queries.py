@@ -65,6 +65,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import classes
+
+    return classes(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -81,6 +87,7 @@ def queries() -> dict:
         "op6_vector_join": op6_vector_join,
         "op8_toxicity": op8_toxicity,
         "op7_line_dedup": op7_line_dedup,
+        "op9_shingle_join": op9_shingle_join,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
