@@ -79,7 +79,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 def _node(x: np.ndarray) -> int:
     """The 64 bits that stand for a set."""
-    return int((_mix(x).sum(dtype=np.uint64) + np.uint64(len(x)) * _C1).astype(np.int64))
+    total = (int(_mix(x).sum(dtype=np.uint64)) + len(x) * int(_C1)) % 2**64
+    return total - 2**64 if total >= 2**63 else total
 
 
 def bands(percent: int, most: int) -> list[int]:
