@@ -1,16 +1,18 @@
 """N-gram Jaccard join: universe-partition pigeonhole over sets of word shingles, verified exactly.
 
-Sets are grouped into size bands [lo, hi] so that a partner is in the same band or the next. Two sets of band b's partition
-that reach the threshold differ in at most H = hi * (1 - t) / t tokens. Tokens are hashed into m segments; a segment is
-"found" if it is equal in both sets or, where one-deletion neighbourhoods are indexed, differs in one token. An exact segment
-costs one signature and absorbs one difference, a segment with deletions costs its size more and absorbs two; allocation()
-chooses how many of each by expected signatures and chance candidates. The sum is chosen such that similar sets always share
-two found segments at least.
-
-Signatures are dealt by value and sorted, and each bucket is read as a stream: its first set is paired with all others (one
-pair per set, never all pairs), the pairs are verified on the texts, and links are united. Buckets whose sets are then all in one
-component are done. In the others pairs across components follow: in buckets of up to LIGHT components by the bucket; in
-heavier ones, by pairs of heavy signatures, which similar sets share too. No bucket's rows are held in memory, and no case is dropped.
+Sets are grouped into size bands so that a partner is in the same band or the next. Two sets that meet in band b's partition
+and reach the threshold differ in at most H tokens. Tokens are hashed into m segments; a segment is "found" if it is equal in
+both sets or, where one-deletion neighbourhoods are indexed, differs in one token. An exact segment costs one signature and
+absorbs one difference, a segment with deletions costs its size more and absorbs two; allocation() chooses how many of each by
+expected signatures and chance candidates. The sum leaves SLACK, so that similar sets share need() found segments, not one.
+
+Signatures are dealt by value and sorted, and each bucket is read as a stream. First, each set is paired with its bucket's first
+set (one pair a set, never all pairs); pairs met in two buckets or more are verified on the texts, and links are united.
+Buckets whose sets are then all in one component are done. Of the others, those with up to LIGHT components give their pairs
+across components, of which only those met often enough for need() are verified: a pair met c times in light buckets can be
+similar only if c and the smaller number of the two sets' heavy buckets make up need(). What is left are sets with need() heavy
+buckets or more. They are joined cluster by cluster in blocks of BLOCK sets: overlaps come from products of token
+columns, only a spanning forest of the links leaves a block pair. No bucket is held in memory as rows of all pairs, no case is dropped.
 
 Equal sets are one node from the start. Shingles and words are known by 64-bit hashes, a set by the 64-bit sum of its mixed
 hashes. A null or empty text has no words, an empty set, and is linked with nothing. Fewer words than a shingle are one
@@ -34,8 +36,8 @@ from .byte_tokens import chunks
 from .common import saved, ship
 from .components import components
 
-#: Components of a bucket up to which it is searched as it is; signatures that a chance candidate costs.
-LIGHT, CANDIDATE = 32, 100.0
+#: Components of a light bucket at most; signatures that a chance meeting costs; segments beyond the pigeonhole's; sets in a block.
+LIGHT, CANDIDATE, SLACK, BLOCK = 8, 0.5, 2, 2_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -97,9 +99,10 @@ def allocation(hi: int, percent: int, sets: float) -> tuple[int, int]:
     h = hi * (100 - percent) // percent
     if h == 0:
         return 0, 0
-    best, found = math.inf, (h + 2, 0)
-    for d in range(0, (h + 3) // 2 + 1):
-        m = d + max(0, h + (3 if d else 2) - 2 * d)
+    best, found = math.inf, (h + 1 + SLACK, 0)
+    for d in range(0, (h + 1) // 2 + 1):
+        # with deletions a found segment may stand for two of the sum, so that SLACK + 1 of them need twice as much of it
+        m = d + max(0, h + 1 + (2 * SLACK + 1 if d else SLACK) - 2 * d)
         if m < 2:
             continue
         k = hi / m
@@ -109,6 +112,15 @@ def allocation(hi: int, percent: int, sets: float) -> tuple[int, int]:
     return found
 
 
+def need(n: int, b: int, his: list[int], percent: int, m: int, d: int) -> int:
+    """How many found segments a set of n shingles shares at least with any similar partner in band b's partition."""
+    most = min(n * 100 // percent, his[b + 1]) if n <= his[b] else his[b]
+    differ = (n + most) * (100 - percent) // (100 + percent)
+    if d:
+        return -(-(m + d - differ) // 2)
+    return max(1, m - differ)
+
+
 def signatures(x: np.ndarray, part: int, m: int, d: int) -> np.ndarray:
     """A set's signatures in one partition."""
     mixed = _mix(x)
@@ -138,13 +150,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> DataFrame:
+    """sig, node and need of every document's set, in its own band's partition and in the one below."""
     plans: dict[int, tuple[int, int]] = {}
     his = bands(percent, 50_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, most=2_000_000):
-                sigs, nodes = [], []
+                sigs, nodes, needs = [], [], []
                 for x in shingle_sets(part.column(0), words):
                     if not len(x):
                         continue
@@ -157,64 +170,49 @@ def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> D
                         if plans[b][0]:
                             sigs.append(signatures(x, b, *plans[b]))
                             nodes.append(np.full(len(sigs[-1]), _node(x), np.int64))
+                            needs.append(np.full(len(sigs[-1]), need(len(x), b, his, percent, *plans[b]), np.int32))
                 if sigs:
-                    sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
-                    for at in range(0, len(sig), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["sig", "node"])
-
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+                    columns = [np.concatenate(sigs).view(np.int64), np.concatenate(nodes), np.concatenate(needs)]
+                    for at in range(0, len(columns[0]), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["sig", "node", "need"])
 
+    return docs.select("text").mapInArrow(run, "sig long, node long, need int")
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (sig, node) in order. Gives (null, first node, node) for each other node of a bucket, and (sig, null, node) for the
-    nodes of buckets with three or more. Holds two rows of the open bucket at most."""
-    held_sig = held_node = np.zeros(0, np.int64)
-    leader: int | None = None  # of an open bucket whose first rows are out
 
-    def out(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        n, k = len(x), len(sig)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(n, np.int64), sig]), mask=np.arange(n + k) < n), pa.array(np.concatenate([x, np.zeros(k, np.int64)]), mask=np.arange(n + k) >= n), pa.array(y)], ["sig", "x", "y"])
-
-    last: tuple[int, int] | None = None
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (sig, node, need) in order of sig and node; gives sig, first (the bucket's first node), node and need of the buckets
+    with two nodes or more, each node once. Holds one row between batches."""
+    sig0 = node0 = need0 = None  # the last row, while it is alone in its bucket
+    open_sig = leader = last = None
     for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sig, node, need_ = (batch.column(k).to_numpy() for k in range(3))
         if not len(sig):
             continue
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         fresh[0] = last != (int(sig[0]), int(node[0]))
-        open_sig = last[0] if last else None
         last = (int(sig[-1]), int(node[-1]))
-        sig, node = sig[fresh], node[fresh]
-        if leader is not None:
-            more = int((sig == open_sig).sum())
-            if more:
-                yield out(sig[:more], np.full(more, leader), np.concatenate([node[:more], node[:more]]))
-                sig, node = sig[more:], node[more:]
-            if len(sig):
-                leader = None
-            else:
-                continue
-        sig, node = np.concatenate([held_sig, sig]), np.concatenate([held_node, node])
-        held_sig = held_node = np.zeros(0, np.int64)
+        sig, node, need_ = sig[fresh], node[fresh], need_[fresh]
         if not len(sig):
             continue
+        if sig0 is not None:
+            sig, node, need_ = np.append(sig0, sig), np.append(node0, node), np.append(need0, need_).astype(np.int32)
+            sig0 = None
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         sizes = np.diff(np.append(starts, len(sig)))
-        if sizes[-1] < 3:
-            held_sig, held_node = sig[starts[-1] :], node[starts[-1] :]
+        first = node[starts]
+        goes_on = open_sig is not None and sig[0] == open_sig
+        if goes_on:
+            first[0] = leader
+        shown = sizes >= 2
+        shown[0] |= goes_on
+        if shown[-1]:
+            open_sig, leader = int(sig[-1]), int(first[-1])
         else:
-            leader = int(node[starts[-1]])
-        of = np.repeat(np.arange(len(starts)), sizes)
-        done = sizes >= 2
-        if sizes[-1] < 3:
-            done[-1] = False
-        rest = done[of] & (np.arange(len(sig)) != starts[of])
-        many = done[of] & (sizes[of] >= 3)
-        if rest.any():
-            yield out(sig[many], node[starts[of[rest]]], np.concatenate([node[rest], node[many]]))
-    if len(held_sig) == 2:
-        yield out(np.zeros(0, np.int64), held_node[:1], held_node[1:])
+            open_sig, sig0, node0, need0 = None, sig[-1], node[-1], need_[-1]
+        keep = np.repeat(shown, sizes)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(np.repeat(first, sizes)[keep]), pa.array(node[keep]), pa.array(need_[keep])], ["sig", "first", "node", "need"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -244,6 +242,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return joined.mapInArrow(run, "x long, y long, u long, v long")
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of a shares with each of b. Tokens of many sets are columns of a product of matrices; pairs that share a
+    rarer token are counted one by one."""
+    rows = [np.repeat(np.arange(len(x)), list(map(len, x))) for x in (a, b)]
+    tokens, index = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    ia, ib = index[: len(rows[0])], index[len(rows[0]) :]
+    na, nb = np.bincount(ia, minlength=len(tokens)), np.bincount(ib, minlength=len(tokens))
+    common = np.flatnonzero((na > 0) & (nb > 0) & (na * nb > 64))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(common), 2048):
+        part = common[at : at + 2048]
+        place = np.full(len(tokens), -1)
+        place[part] = np.arange(len(part))
+        x, y = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
+        for m, i, r in ((x, ia, rows[0]), (y, ib, rows[1])):
+            own = place[i] >= 0
+            m[r[own], place[i[own]]] = 1
+        out += x @ y.T
+    rare = (na > 0) & (nb > 0) & (na * nb <= 64)
+    keep_a, keep_b = rare[ia], rare[ib]
+    ta, ra, tb, rb = ia[keep_a], rows[0][keep_a], ib[keep_b], rows[1][keep_b]
+    order = np.argsort(tb, kind="stable")
+    tb, rb = tb[order], rb[order]
+    begin, count = np.searchsorted(tb, ta), nb[ta]
+    left = np.repeat(ra, count)
+    right = rb[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    out += np.bincount(left * len(b) + right, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _join_cluster(nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) among the rows (cluster, size, doc_id, node, text) of each cluster: a spanning forest of each block pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        block = table["block"].to_numpy()
+        sets = shingle_sets(table["text"].combine_chunks(), words)
+        ids = table["doc_id"].to_numpy()
+        good = np.array([_node(t) == n for t, n in zip(sets, table["node"].to_pylist(), strict=True)])  # not another text under a repeated doc_id
+        one, two = np.flatnonzero((block == x) & good), np.flatnonzero((block == y) & good)
+        common = _overlaps([sets[k] for k in one], [sets[k] for k in two]).astype(np.int64)
+        n = np.array([len(t) for t in sets])
+        i, j = np.nonzero(100 * common >= percent * (n[one][:, None] + n[two][None, :] - common))
+        i, j = one[i], two[j]
+        root = np.arange(len(sets))
+        while True:  # each set to the smallest row it is linked with, until nothing changes
+            before = root.copy()
+            np.minimum.at(root, i, root[j])
+            np.minimum.at(root, j, root[i])
+            root = root[root]
+            if (root == before).all():
+                break
+        own = np.flatnonzero(root != np.arange(len(sets)))
+        return pa.table({"u": ids[own], "v": ids[root[own]]})
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "node", "text")
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "u long, v long")
+
+
 def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     ship(docs.sparkSession)
@@ -252,39 +311,57 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     firsts = saved(base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sets = docs.count() / 8  # about what one band's partition holds
     dealt = _signature_rows(rows, words, percent, sets).repartition("sig").sortWithinPartitions("sig", "node")
-    buckets = saved(dealt.mapInArrow(_first_pairs, "sig long, x long, y long"), "buckets")
-    first = saved(buckets.where("x is not null").select("x", "y").distinct(), "pairs")
-    members = buckets.where("sig is not null").select("sig", F.col("y").alias("node"))
-    in_play = first.select(F.col("x").alias("node")).union(first.select("y")).union(members.select("node")).distinct()
-    wanted = firsts.join(in_play, "node", "left_semi")
-    texts = saved(rows.join(wanted, "doc_id").select("node", "doc_id", "text"), "texts")
-    links = saved(_verified(first, texts, words, percent).select("u", "v"), "links")
-    known = components(links)
-
-    # node, component of the members of larger buckets; what is not linked yet is alone
-    label = firsts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("c"))
-    labelled = members.join(label, "node")
-    by_class = labelled.select("sig", "c").distinct()
-    spread = by_class.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    if spread.take(1):
-        mixed = saved(labelled.join(spread, "sig"), "mixed")
-        light = mixed.where(F.col("n") <= LIGHT).select("sig", "c", "node")
-        heavy = mixed.where(F.col("n") > LIGHT).select("sig", "c", "node")
-        # heavy signatures of a node, two by two: similar sets share two signatures of one partition at least
-        own = heavy.groupBy("node", "c").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-        twos = own.select("node", "c", F.posexplode("sigs").alias("i", "s"), "sigs")
-        twos = twos.select("node", "c", "s", F.explode(F.slice("sigs", F.col("i") + 2, F.size("sigs"))).alias("t"))
-        fine = light.unionByName(twos.select(F.xxhash64("s", "t").alias("sig"), "c", "node"))
-        few = fine.select("sig", "c").distinct()
-        across = few.select("sig", F.col("c").alias("c1")).join(few.select("sig", F.col("c").alias("c2")), "sig").where("c1 < c2")
-        left, right = fine.select("sig", F.col("c").alias("c1"), F.col("node").alias("x")), fine.select("sig", F.col("c").alias("c2"), F.col("node").alias("y"))
-        more = across.join(left, ["sig", "c1"]).join(right, ["sig", "c2"]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        more = saved(more.join(first, ["x", "y"], "left_anti"), "more")
-        known = components(saved(links.union(_verified(more, texts, words, percent).select("u", "v")), "links"))
-        label = firsts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("c"))
+    buckets = saved(dealt.mapInArrow(_buckets, "sig long, first long, node long, need int"), "buckets")
+
+    # pairs with the bucket's first set, met twice or more
+    pairs = buckets.where("node <> first").groupBy(F.col("first").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = saved(pairs.where("n >= 2").select("x", "y"), "pairs")
+    links = saved(_verified(pairs, _texts(rows, firsts, pairs), words, percent).select("u", "v"), "links")
+    label = _labels(firsts, components(links))
+
+    # buckets that are not within one component
+    labelled = buckets.select("sig", "node", "need").join(label, "node")
+    span = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    mixed = saved(labelled.join(span, "sig"), "mixed")
+    spread = mixed.select("sig", "c").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("classes"))
+    mixed = mixed.join(spread, "sig").select("sig", "node", "need", "c", (F.col("classes") > LIGHT).alias("heavy"))
+    mixed = saved(mixed, "spread")
+    counts = saved(mixed.groupBy("node").agg(F.first("c").alias("c"), F.min("need").alias("need"), F.count_if("heavy").alias("heavy")), "counts")
+
+    light = mixed.where("not heavy").select("sig", "c", "node")
+    few = light.select("sig", "c").distinct()
+    across = few.select("sig", F.col("c").alias("c1")).join(few.select("sig", F.col("c").alias("c2")), "sig").where("c1 < c2")
+    left, right = light.select("sig", F.col("c").alias("c1"), F.col("node").alias("x")), light.select("sig", F.col("c").alias("c2"), F.col("node").alias("y"))
+    met = across.join(left, ["sig", "c1"]).join(right, ["sig", "c2"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda k: counts.select(F.col("node").alias(k), F.col("need").alias(f"need_{k}"), F.col("heavy").alias(f"heavy_{k}"))
+    met = met.join(side("x"), "x").join(side("y"), "y").where(F.col("n") + F.least("heavy_x", "heavy_y") >= F.greatest("need_x", "need_y"))
+    more = saved(met.select("x", "y"), "more")
+    found = _verified(more, _texts(rows, firsts, more), words, percent).select("u", "v")
+
+    # sets that may meet in heavy buckets alone, in clusters that such buckets connect
+    crowded = counts.where("heavy >= need").select("node")
+    if crowded.take(1):
+        within = mixed.where("heavy").join(crowded, "node", "left_semi").select("sig", "node")
+        head = within.groupBy("sig").agg(F.min("node").alias("head"))
+        cluster = components(within.join(head, "sig").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
+        sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        members = cluster.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size").join(firsts, "node")
+        found = found.unionByName(_join_cluster(members.join(rows, "doc_id"), words, percent))
+    label = _labels(firsts, components(saved(links.union(found.select("u", "v")), "links")))
     return base.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def _labels(firsts: DataFrame, known: DataFrame) -> DataFrame:
+    """node and c, its component so far; a set without links is alone."""
+    return firsts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("c"))
+
+
+def _texts(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, doc_id and text of the sets in pairs."""
+    used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    return saved(rows.join(firsts.join(used, "node", "left_semi"), "doc_id").select("node", "doc_id", "text"), "texts")
+
+
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with its own columns; rows that repeat it are kept once."""
     found = classes(docs, words, percent)
