@@ -144,7 +144,7 @@ class _Page:
 
     def _parse(self, source: str) -> None:
         at, lower = 0, None
-        end_of_tags = source.rfind(">")
+        end_of_tags = max(source.rfind(">"), source.rfind("<!--"))
         while at <= end_of_tags and (m := MARKUP.search(source, at)):
             self._text(source[at : m.start()])
             at = m.end()
