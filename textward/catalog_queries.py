@@ -191,7 +191,8 @@ def pat_verdict(spark, d):
 
 
 def pat_verdict_documents(spark, d):
-    out = _layer(_documents(spark, d), Config())
+    docs = patterns.with_repetition(_documents(spark, d), "text", "repeated")
+    out = docs.withColumn("p", patterns.layer(F.col("text"), Config(), repeated=F.col("repeated")))
     return out.select("id", F.array_join("p.matched_ids", "|").alias("matched"), _r("p.confidence").alias("confidence"))
 
 

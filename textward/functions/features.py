@@ -65,7 +65,8 @@ def char_features():
             rows = [char_statistics(t) if t is not None else (None,) * 5 for t in texts]
             yield pd.DataFrame(rows, columns=["entropy", "trigrams", "compression", "brackets", "depth"])
 
-    return statistics
+    # called nondeterministic, so that the optimizer neither repeats it nor moves it into the expressions that use it
+    return statistics.asNondeterministic()
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from textward import catalog
 from textward.config import Config
+from textward.functions.repetition import COPIES, SHORTEST, repetition
 from textward.functions.text import any_match, let, matches, texts, valid
+from textward.shipping import ship
 
 #: id, name, severity, category, regular expression, description
 Pattern = tuple[str, str, str, str, str, str]
@@ -34,9 +36,12 @@ def catalog_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "id", "full_outer").select("id", change.alias("change")).where("change is not null")
 
 
-def hit(text: Column, pattern: Pattern) -> Column:
+def hit(text: Column, pattern: Pattern, repeated: Column | None = None) -> Column:
+    """Whether the pattern is found. `repeated` is the column that with_repetition() adds, instead of the one back-reference."""
     if pattern[0] != catalog.REPETITION:
         return matches(text, pattern[4])
+    if repeated is not None:
+        return F.coalesce(repeated, F.lit(False))
     # A block and ten copies take eleven times the block, so a text of n characters holds none longer than n / 11: the group's
     # upper bound by classes of length keeps the back-reference from trying lengths that cannot fit.
     found = F.lit(False)
@@ -46,13 +51,20 @@ def hit(text: Column, pattern: Pattern) -> Column:
     return F.when(F.length(text) >= bounds[-1], matches(text, r"(.{10,})\1{10}")).otherwise(found)
 
 
-def hits(text: Column, rows: Sequence[Pattern], config: Config) -> Column:
+def with_repetition(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a column that tells whether the text holds the catalogue's repetition; much faster than the back-reference. Texts too
+    short for it do not reach Python."""
+    ship(df.sparkSession)
+    return df.withColumn(name, repetition()(F.when(F.length(text) >= SHORTEST * COPIES, F.col(text))))
+
+
+def hits(text: Column, rows: Sequence[Pattern], config: Config, repeated: Column | None = None) -> Column:
     """Array of the patterns found, up to the first whose adjusted confidence reaches the exit threshold."""
     own = config.patterns
     level = [min(1.0, catalog.SEVERITY_CONFIDENCE.get(p[2], 0.6) * own.multiplier) for p in rows]
     if not rows:
         return F.array().cast("array<struct<ord:int,id:string,name:string,confidence:double,severity:string,category:string>>")
-    places = F.array_compact(F.array(*[F.when(hit(text, p), k) for k, p in enumerate(rows)]))
+    places = F.array_compact(F.array(*[F.when(hit(text, p, repeated), k) for k, p in enumerate(rows)]))
     ends = [k for k, c in enumerate(level) if c >= own.exit_threshold]
     stops = F.expr(f"array({', '.join(map(str, ends))})") if ends else F.array().cast("array<int>")
     columns = {"id": texts(p[0] for p in rows), "name": texts(p[1] for p in rows), "confidence": F.expr(f"array({', '.join(f'{c!r}D' for c in level)})"), "severity": texts(p[2] for p in rows), "category": texts(p[3] for p in rows)}
@@ -64,7 +76,7 @@ def hits(text: Column, rows: Sequence[Pattern], config: Config) -> Column:
     return F.transform(let(places, cut), lambda k: F.struct(k.alias("ord"), *[F.get(values, k).alias(c) for c, values in columns.items()]))
 
 
-def layer(text: Column, config: Config, rows: Sequence[Pattern] | None = None) -> Column:
+def layer(text: Column, config: Config, rows: Sequence[Pattern] | None = None, repeated: Column | None = None) -> Column:
     """The layer's struct."""
     own = config.patterns
     rows = active(config) if rows is None else rows
@@ -82,7 +94,7 @@ def layer(text: Column, config: Config, rows: Sequence[Pattern] | None = None) -
             F.transform(h, lambda x: x["name"]).alias("matched"), F.transform(h, lambda x: x["id"]).alias("matched_ids"), best["category"].alias("category"), best["severity"].alias("severity"), *counts,
         ))
 
-    out = let(hits(text, rows, config), build).cast(kind)
+    out = let(hits(text, rows, config, repeated), build).cast(kind)
     if not own.allowed:
         return out
     free = F.struct(F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("allowlisted").alias("status"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts).cast(kind)

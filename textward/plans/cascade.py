@@ -21,7 +21,7 @@ def analyze(df: DataFrame, text: str = "text", config: Config | None = None, mor
     """df with the layers' structs and `verdict`. Columns of df with those names are replaced. Invalid texts get a verdict with
     status invalid, or are let through where errors are to fail open."""
     config = config or Config()
-    taken = set(ANALYSIS) | {"_text", "_chars", "_facts"}
+    taken = set(ANALYSIS) | {"_text", "_open", "_repeated", "_chars", "_facts"}
     kept = [c for c in df.columns if c not in taken or c == text]
     t = F.col("_text")
     rows = patterns.active(config, more_patterns)
@@ -29,7 +29,11 @@ def analyze(df: DataFrame, text: str = "text", config: Config | None = None, mor
     out = out.withColumn("language", language.gate(t, (detector or language.detect)(t), config))
     # later layers see only the texts that reach them
     open_gate = F.col("validation.is_valid") & ~F.col("language.blocked")
-    out = out.withColumn("patterns", F.when(open_gate, patterns.layer(t, config, rows)))
+    out = out.withColumn("_open", F.when(open_gate, t))
+    repeated = None
+    if config.patterns.enabled and any(r[0] == catalog.REPETITION for r in rows):
+        out, repeated = patterns.with_repetition(out, "_open", "_repeated"), F.col("_repeated")
+    out = out.withColumn("patterns", F.when(open_gate, patterns.layer(F.col("_open"), config, rows, repeated)))
     exit1 = F.coalesce(F.col("patterns.is_threat") & (F.col("patterns.confidence") >= config.patterns.early_exit), F.lit(False))
     out = out.withColumn("heuristics", F.when(open_gate & ~exit1, heuristics.layer(t, config, analyzers)))
     p, h = F.coalesce("patterns.confidence", F.lit(0.0)), F.coalesce("heuristics.confidence", F.lit(0.0))
