@@ -31,7 +31,7 @@ def headline(spark: SparkSession) -> dict[str, DataFrame]:
     return {
         "language": docs.select("id", language.gate(t, language.detect(t), Config()).alias("x")),
         "patterns_without_repetition": docs.select("id", patterns.layer(t, Config(patterns=C.NO_REPETITION)).alias("x")),
-        "patterns": docs.select("id", patterns.layer(t, Config()).alias("x")),
+        "patterns": patterns.with_repetition(docs, "text", "r").select("id", patterns.layer(t, Config(), repeated=F.col("r")).alias("x")),
         "heuristics": docs.select("id", heuristics.layer(t, Config()).alias("x")),
         "features": docs.select("id", *features(t, None).values()),
         "cascade": analyze(docs).select("id", "verdict"),
