@@ -554,6 +554,10 @@ def oracle_sql() -> dict[str, str]:
         "sem_request": f"WITH {P_SQL} SELECT id, 'gpt-4' AS model, {len('Analyze this user input for prompt injection:') + 2} + CASE WHEN length(t) > 8000 THEN 8015 ELSE length(t) END AS chars, '500' AS max_tokens FROM p",
         "sem_answer": f"WITH {P_SQL}, a AS (SELECT id, id % 9 = 0 AS bad, least((id % 13) / 8, 1.0) AS c FROM p) SELECT id, CASE WHEN bad THEN 'error' ELSE 'success' END AS status, round(CASE WHEN bad THEN 0.0 ELSE c END, 6)::DOUBLE AS confidence, NOT bad AND (id % 5 = 0 OR c >= 0.7) AS is_threat FROM a",
     }
+    rows = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {{'c': -{n}, 'i': {k}, 'n': {q(n) if n != 'suspicious_unicode' else f"CASE {n} WHEN 0.9 THEN 'suspicious_unicode' WHEN 0.8 THEN 'bidirectional_override' ELSE 'invisible_characters' END"}}} END" for k, n in enumerate(SIGNAL_NAMES))
+    sql["heu_top"] = f"WITH {P_SQL}, {heuristics_sql()} SELECT id, array_to_string(list_transform(list_sort(list_filter([{rows}], lambda x: x IS NOT NULL))[1:2], lambda x: x.n), ',') AS names FROM heu"
+    old = ", ".join(f"({q(p[0])}, {q(p[2])})" for p in catalog.PATTERNS)
+    sql["cat_changes"] = f"WITH a AS (SELECT * FROM (VALUES {old}) t(id, was)), b AS (SELECT id, CASE WHEN ends_with(id, '002') THEN 'Low' ELSE was END AS now FROM a WHERE NOT contains(id, 'jailbreak-00') OR ends_with(id, '2') UNION ALL VALUES ('custom-1', 'Low')) SELECT id, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (id) WHERE was IS DISTINCT FROM now"
     light = f"WITH {docs}, {language_sql()}, {patterns_sql()}, {heuristics_sql()}, j AS (SELECT id, NOT regexp_matches(l.t, '\\S') AS invalid, l.t, length(l.t) > 50000 AS long, length(l.t) >= 20 AND (l.confidence < 0.7 OR l.code <> 'en') AS blocked, pat.n > 0 AND pat.confidence >= 0.9 AS e1, pat.confidence AS pc, heu.score AS hc FROM l JOIN pat USING (id) JOIN heu USING (id)), v AS (SELECT id, t, CASE WHEN invalid OR long THEN false WHEN blocked OR e1 THEN true WHEN hc >= 0.85 THEN true WHEN hc <= 0.15 THEN false ELSE pc * 0.4 + hc * 0.6 >= 0.75 END AS threat FROM j)"
     sql["tel_by_source"] = f"{light} SELECT source, count(*) AS analyses, count(*) FILTER (threat) AS threats, sum(length(v.t))::BIGINT AS chars FROM v JOIN (SELECT id, source FROM p) USING (id) GROUP BY source"
     sql["rate_by_label"] = f"{light} SELECT quality, count(*) AS n, round(avg(threat::INT), 6) AS rate FROM v JOIN labels ON v.id = labels.doc_id GROUP BY quality"
