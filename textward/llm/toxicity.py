@@ -133,7 +133,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) ->
         dense[spots] = own
         live = dense != 0
         for batch in batches:
-            for part in chunks(batch, column="text", most=8_000_000):
+            for part in chunks(batch, column="text", most=3_000_000):
                 found = []
                 for rows, buckets in features(part.column("text")):
                     hit = live[buckets]
