@@ -31,7 +31,7 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = work_dir(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
