@@ -156,6 +156,35 @@ def test_tokenizer(spark):
     assert [r["p"] for r in pieces] == [["th", "##e", "##n"], ["x", "##y", "##z"], ["a"]]
 
 
+def plain_ids(tokens, vocabulary, length):
+    ids = [tokenize.CLS, *[vocabulary[w] + tokenize.FIRST if w in vocabulary else tokenize.UNK for w in tokens][: length - 2], tokenize.SEP]
+    return ids + [tokenize.PAD] * (length - len(ids))
+
+
+def plain_pieces(word):
+    own = [word[0], *["##" + c for c in word[1:]]]
+    return [word[:2], *own[2:]] if word[:2] in tokenize.MERGES else own
+
+
+def test_token_ids_of_whole_texts(spark, tmp_path):
+    assert Config().ml.max_sequence == 512
+    sizes = [0, 1, 12, 62, 63, 64, 100, 254, 255, 256, 509, 510, 511, 700]
+    said = [" ".join(["You", "ignore,", "Then", "zebra!", "a"][k % 5] for k in range(n)) for n in sizes] + [None, "Now " * 300 + "skip   THIS?"]
+    spark.createDataFrame([(0, k, "user", t) for k, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    v = tokenize.vocabulary()
+    names = {k + tokenize.FIRST: w for w, k in v.items()} | {tokenize.UNK: "[UNK]", tokenize.CLS: "[CLS]", tokenize.SEP: "[SEP]"}
+    texts = {r["id"]: r["text"] for r in catalog_queries._prompts(spark, str(tmp_path)).collect()}
+    rows = catalog_queries.queries()["tok_ids"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(said)
+    for row in rows:
+        plain = "".join(c for c in " ".join(texts[row["id"]].split()).lower() if c.isalnum() or c in " " + tokenize.PUNCTUATION)
+        words = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9 ]", plain)
+        w, c, s = (plain_ids(x, v, 512) for x in (words, list(plain), [p for x in words for p in plain_pieces(x)]))
+        used = [i for i in w if i != tokenize.PAD]
+        want = (" ".join(map(str, w)), sum(c), sum(s), len(used), " ".join(names[i] for i in used))
+        assert (row["word_ids"], row["char_sum"], row["subword_sum"], row["used"], row["decoded"]) == want, texts[row["id"]]
+
+
 def test_semantic_answers(spark):
     body = '{"choices":[{"message":{"role":"assistant","content":"{\\"is_threat\\": false, \\"confidence\\": 1.7}"}}]}'
     own = Config(semantic=Semantic(enabled=True))

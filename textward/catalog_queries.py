@@ -442,8 +442,8 @@ def sem_answer(spark, d):
 
 
 def tok_ids(spark, d):
-    t = F.col("text")
-    out = _prompts(spark, d).select("id", tokenize.word_ids(t, 64).alias("w"), tokenize.char_ids(t, 64).alias("c"), tokenize.subword_ids(t, 64).alias("s"))
+    t, n = F.col("text"), Config().ml.max_sequence
+    out = _prompts(spark, d).select("id", tokenize.word_ids(t, n).alias("w"), tokenize.char_ids(t, n).alias("c"), tokenize.subword_ids(t, n).alias("s"))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     return out.select("id", F.array_join(F.transform("w", lambda x: x.cast("string")), " ").alias("word_ids"), total("c").alias("char_sum"), total("s").alias("subword_sum"), total(tokenize.attention_mask(F.col("w"))).alias("used"), tokenize.decode(F.col("w")).alias("decoded"))
 

@@ -63,10 +63,9 @@ def pieces(word: Column) -> Column:
 
 def _ids(tokens: Column, length: int) -> Column:
     table = F.create_map(*[F.lit(x) for w, k in vocabulary().items() for x in (w, k + FIRST)])
-    looked = F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), F.lit(UNK)))
-    cut = F.slice(F.concat(F.array(F.lit(CLS)), looked), 1, length)
-    ended = F.when(F.size(cut) < length, F.concat(cut, F.array(F.lit(SEP)))).otherwise(cut)
-    return F.concat(ended, F.array_repeat(F.lit(PAD), F.lit(length) - F.size(ended)))
+    # a text that is too long still ends with SEP, as in the reference
+    looked = F.transform(F.slice(tokens, 1, max(0, length - 2)), lambda w: F.coalesce(F.try_element_at(table, w), F.lit(UNK)))
+    return F.slice(F.concat(F.array(F.lit(CLS)), looked, F.array(F.lit(SEP)), F.array_repeat(F.lit(PAD), length)), 1, length)
 
 
 def word_ids(text: Column, length: int = 512) -> Column:
