@@ -215,6 +215,15 @@ def test_main_text():
     assert extract("<div>" * 3000 + "deep, text.") == "deep, text."
 
 
+def test_main_text_without_an_article_keeps_lead_and_end():
+    lead, end = "A lead, short but whole.", "The closing words, at last."
+    body = [f"Paragraph {k}, with some words of its own, and more of them, so that it is long." for k in range(40)]
+    parts = f"<div class=lead><p>{lead}</p></div><div class=text>{''.join(f'<p>{t}</p>' for t in body)}<ul><li>Point</ul></div><div class=end><p>{end}</p></div>"
+    want = [lead, *body, "Point", end]
+    assert extract(f"<body><div class=page>{parts}</div></body>").split("\n\n") == want
+    assert extract(f"<body><div class=menu><a href=/>Home</a></div>{parts}<div id=footer><p>Imprint, and so on.</p></div></body>").split("\n\n") == want
+
+
 def test_toxicity_learns_and_keeps_clean_documents(spark):
     rng = random.Random(5)
     voc = [f"w{k}" for k in range(300)]

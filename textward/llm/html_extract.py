@@ -3,10 +3,9 @@
 A page becomes blocks of text in page order, each with its root-to-leaf path of tags. Text length and punctuation are
 aggregated by path; a path's length ratio (characters a block) and punctuation ratio (marks a block) are fused into a score,
 each block's score is smoothed along the page with a Gaussian window, and blocks over a share of the scores' spread are the
-seeds of the content. The innermost container that holds nearly all seed text, or the article around it, gives the result:
-all its blocks but those in boilerplate elements (navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) and lists of links. Without such a container inside the body, the seeds' own paths and the headings
-between them are taken.
+seeds of the content. The innermost container that holds all seed text, or the article around it, gives the result: all its blocks but those in boilerplate elements (navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments) and lists of links. Without such a container inside the body, all from the first seed to the last is
+taken, with the heading before it, the blocks on the seeds' paths and those of the container that holds nearly all seed text.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line; nothing else is
 dropped or cut. A null html is empty; a page without blocks gives an empty text. Parsing is linear in the page. Rows that
@@ -226,17 +225,21 @@ def extract(source: str | None) -> str:
         total[at] = w
     for k in range(len(page.tag) - 1, 0, -1):
         total[page.parent[k]] += total[k]
-    box = 0
+    box = core = 0
     for k in range(1, len(page.tag)):  # children follow their parents
         # two that hold nearly all are one within the other
         if page.tag[k] in CONTAINERS and total[k] >= HELD * total[0] and total[0] > 0:
-            box = k
+            core = k
+            if total[k] == total[0]:
+                box = k
     around = [a for a in page.ancestors(box) if page.tag[a] in ("article", "main")]
     box = next((a for a in around if page.tag[a] == "article"), around[0] if around else box)
-    within = np.zeros(len(page.tag), bool)
+    within, inner = np.zeros(len(page.tag), bool), np.zeros(len(page.tag), bool)
     within[box] = True
+    inner[core] = page.tag[core] not in ("", "html", "body")
     for k in range(box + 1, len(page.tag)):
         within[k] = within[page.parent[k]]
+        inner[k] |= inner[page.parent[k]]
     links = np.array([linked >= LINKS * len(t) and page.tag[at] in ("li", "ul", "ol", "div", "td", "span") for at, t, linked in blocks])
     take = np.array([within[at] for at, _, _ in blocks]) & ~links
     if page.tag[box] in ("", "html", "body"):
@@ -244,7 +247,7 @@ def extract(source: str | None) -> str:
         first, last = np.flatnonzero(seeds)[[0, -1]]
         headings = np.array([page.tag[at] in HEADINGS for at, _, _ in blocks])
         near = np.arange(len(blocks))
-        take &= own | headings & (near >= first - 1) & (near <= last)
+        take &= own | np.array([inner[at] for at, _, _ in blocks]) | (near >= first) & (near <= last) | headings & (near == first - 1)
     titles = [k for k, (at, _, _) in enumerate(blocks) if page.tag[at] == "h1"]
     if len(titles) == 1 and take.any() and titles[0] < np.flatnonzero(take)[0]:
         take[titles[0]] = True  # the only main heading stands before the container
