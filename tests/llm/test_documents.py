@@ -224,6 +224,17 @@ def test_main_text_without_an_article_keeps_lead_and_end():
     assert extract(f"<body><div class=menu><a href=/>Home</a></div>{parts}<div id=footer><p>Imprint, and so on.</p></div></body>").split("\n\n") == want
 
 
+def test_main_text_keeps_sections_named_by_their_titles():
+    p = "Some words of a paragraph, and more of them, so that it is long enough."
+    own = f"""<h2 id="search">Search</h2><p>{p}</p><h3 id="share-prices">Share prices</h3><p class="responses">{p}</p><section id="discussion"><h2>Discussion and outlook</h2><p>{p}</p></section>
+    <div id="related-work"><h2>Related work</h2><p>{p}</p></div><section id="header-files"><h2>Header files</h2><p>{p}</p></section><h3 id="comments">Comments</h3><p>{p}</p>"""
+    want = ["Search", p, "Share prices", p, "Discussion and outlook", p, "Related work", p, "Header files", p, "Comments", p]
+    noise = """<div class="ads">Buy it, now.</div><div class="social-share">Share, please.</div><div class="related"><p>See <a href=/x>another long article, of this site</a></p></div><section id="comments"><p>Great post, thanks.</p></section>"""
+    assert extract(f"<body><article><p>{p}</p>{own}{noise}</article></body>").split("\n\n") == [p, *want]
+    page = f"<body><div class=page><p>{p}</p><section id='discussion'><h2>Discussion</h2><p>{p}</p></section><div id='comments'><h3>Comments</h3><p>{p}</p></div></div></body>"
+    assert extract(page).split("\n\n") == [p, "Discussion", p]
+
+
 def test_toxicity_learns_and_keeps_clean_documents(spark):
     rng = random.Random(5)
     voc = [f"w{k}" for k in range(300)]

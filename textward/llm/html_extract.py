@@ -42,6 +42,12 @@ LABELS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular comment "
     "comments commentlist disqus reply replies respond responses discussion pager pagination copyright disclaimer skip search form paywall".split()
 )
+#: Those of LABELS that name nothing else; as an id, with no words besides LABELS and these.
+CLEAR = frozenset(
+    "ad ads adv advert adverts advertisement adbox adslot sponsor sponsored sponsors promo promos nav navbar breadcrumb breadcrumbs sidebar widget widgets footer masthead "
+    "topbar toolbar gdpr notice notices popup modal overlay newsletter subscribe comment comments commentlist disqus pager pagination paywall".split()
+)
+PARTS = frozenset("area section list box container wrapper wrap block slot main page site".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>?", re.DOTALL)
@@ -52,12 +58,14 @@ SIGMA, SHARE, HELD, LINKS = 1.0, 0.5, 0.9, 0.6
 
 
 class _Page:
-    """Blocks and elements of one page. An element is its tag, parent, path and why it is dropped: 0 not, 1 by tag, 2 by label."""
+    """Blocks and elements of one page. An element is its tag, parent, path and why it is dropped: 0 not, 1 by tag, 2 by label, 3 as
+    a header, 4 by a label that may as well name a topic, 5 as a header by its id alone, 6 by a clear label in its id."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.why, self.path = [""], [-1], [0], [0]
         self.paths: dict[tuple[int, str], int] = {}
         self.block = [0]  # the nearest block-level element
+        self.ids: dict[int, set[str]] = {}  # words of the ids that are labels, by element
         self.count: dict[str, int] = {}  # of open elements by tag
         self.stack = [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters within links
@@ -107,19 +115,28 @@ class _Page:
             self.in_link += tag == "a"
 
     def _label(self, tag: str, attributes: str) -> int:
+        found = 0
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 return 1
             if name == "role" and value.lower() in ROLES:
-                return 2
+                found = 2
             if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 words = {w.lower() for w in WORDS.findall(value)}
-                if words & LABELS:
-                    return 2
-                if "header" in words:
-                    return 3
-        return 0
+                labels = words & LABELS
+                if name == "id" and (labels or "header" in words):
+                    self.ids[len(self.tag)] = words
+                if labels & CLEAR and words <= LABELS | PARTS if name == "id" else labels & CLEAR or len(labels) > 1:
+                    # an id may be made of a title, which _dropped() sees
+                    own = 2 if name == "class" else 6
+                elif labels:
+                    own = 4
+                else:
+                    own = (3 if name == "class" else 5) if "header" in words else 0
+                # the surest one counts
+                found = min(found or own, own or found, key=(2, 6, 3, 4, 5, 0).index)
+        return found
 
     def _close(self, tag: str) -> None:
         if not self.count.get(tag):
@@ -177,22 +194,37 @@ class _Page:
 
 def _dropped(page: _Page) -> np.ndarray:
     """Whether each block is in a boilerplate element. A labelled element that holds an article or main element, or, in a page
-    without these, most of the plain text, is a wrapper: its label does not count. Sums go up the tree in one pass, children first."""
+    without these, most of the plain text, is a wrapper: its label does not count. Within an article a label that may name a topic
+    counts only where the text is mostly links; an id made of the element's own title, or a heading's, does not count there, nor,
+    if it may name a topic and the text is not mostly links, in a page without article."""
     n = len(page.tag)
-    size = np.zeros(n)
+    size, full = np.zeros(n), np.zeros(n)
+    title: list[str | None] = [None] * n  # the first heading in each element
     wraps = [t in ("article", "main") for t in page.tag]
     for at, text, linked in page.blocks:
         size[at] += len(text) - linked
+        full[at] += len(text)
+        if page.tag[at] in HEADINGS and title[at] is None:
+            title[at] = text
     for k in range(n - 1, 0, -1):
-        size[page.parent[k]] += size[k]
-        wraps[page.parent[k]] |= wraps[k]
+        up = page.parent[k]
+        size[up] += size[k]
+        full[up] += full[k]
+        wraps[up] |= wraps[k]
+        if title[k] is not None and page.tag[up] not in HEADINGS:
+            title[up] = title[k]
     hard, head, inside = [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         up, why = page.parent[k], page.why[k]
-        wrapper = (why >= 2 or page.tag[k] == "form") and (wraps[k] or not wraps[0] and size[k] > 0.6 * size[0])
         inside[k] = inside[up] or page.tag[k] in ("article", "main")
-        hard[k] = hard[up] or why in (1, 2) and not wrapper
-        head[k] = head[up] or why == 3 and not wrapper
+        if why >= 2 and why != 3 and (inside[k] or not wraps[0]):
+            links = full[k] - size[k] >= LINKS * full[k]
+            named = k in page.ids and (page.tag[k] in HEADINGS or page.ids[k] - PARTS <= {w.lower() for w in re.findall(r"[A-Za-z]+", title[k] or "")} - PARTS)
+            if inside[k] and (why >= 4 and named or why == 4 and not links or why == 5) or not inside[k] and why in (4, 5) and named and not links:
+                why = 0
+        wrapper = (why >= 2 or page.tag[k] == "form") and (wraps[k] or not wraps[0] and size[k] > 0.6 * size[0])
+        hard[k] = hard[up] or why in (1, 2, 4, 6) and not wrapper
+        head[k] = head[up] or why in (3, 5) and not wrapper
         if head[k] and page.tag[k] in HEADINGS and inside[k]:
             head[k] = False
     return np.array([hard[at] or head[at] for at, _, _ in page.blocks], bool)
