@@ -235,6 +235,18 @@ def test_main_text_keeps_sections_named_by_their_titles():
     assert extract(page).split("\n\n") == [p, "Discussion", p]
 
 
+def test_main_text_keeps_links_of_the_article():
+    p = "Some words of a paragraph, and more of them, so that it is long enough."
+    own = "<div>See <a href=/x>the long title of another page</a></div><table><tr><td>Source</td><td><a href=/y>A table of prices</a></td></tr></table><ul><li><a href=/1>First source</a><li><a href=/2>Second source</a></ul>"
+    want = [p, "See the long title of another page", "Source", "A table of prices", "First source", "Second source"]
+    menu = "<ul><li><a href=/>Home</a><li><a href=/news>News</a></ul>"
+    for tag in ("article", "main"):
+        assert extract(f"<body>{menu}<{tag}><p>{p}</p>{own}</{tag}>{menu}</body>").split("\n\n") == want
+    assert extract(f"<body>{menu}<div><p>{p}</p>{own}<p>{p}</p></div>{menu}</body>").split("\n\n") == [*want, p]
+    assert extract(f"<body><div><p>{p}</p><p>{p}</p><div>See <a href=/x>the long title of another page</a></div>{menu}</div></body>").split("\n\n") == [p, p, want[1]]
+    assert extract(f"<body><div>{menu}<p>{p}</p><p>{p}</p>{menu}</div></body>").split("\n\n") == [p, p]
+
+
 def test_toxicity_learns_and_keeps_clean_documents(spark):
     rng = random.Random(5)
     voc = [f"w{k}" for k in range(300)]

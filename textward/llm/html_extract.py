@@ -230,6 +230,30 @@ def _dropped(page: _Page) -> np.ndarray:
     return np.array([hard[at] or head[at] for at, _, _ in page.blocks], bool)
 
 
+def _menus(page: _Page, blocks: list[tuple[int, str, int]], seeds: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Which blocks are of a list or container whose whole text is mostly links. None is within an article or main element, nor
+    between seeds of the container that holds nearly all seed text."""
+    n = len(page.tag)
+    plain, linked = np.zeros(n), np.zeros(n)
+    for at, text, own in blocks:
+        plain[at] += len(text) - own
+        linked[at] += own
+    for k in range(n - 1, 0, -1):
+        plain[page.parent[k]] += plain[k]
+        linked[page.parent[k]] += linked[k]
+    free = [t in ("article", "main") for t in page.tag]
+    for k in range(1, n):
+        free[k] |= free[page.parent[k]]
+    first, last = np.flatnonzero(seeds)[[0, -1]]
+    out = np.zeros(len(blocks), bool)
+    for k, (at, text, own) in enumerate(blocks):
+        if free[at] or inner[at] and first < k < last or own < LINKS * len(text) or page.tag[at] not in ("li", "ul", "ol", "div", "td", "span"):
+            continue
+        whole = page.parent[at] if page.tag[at] in ("li", "td") or plain[at] else at
+        out[k] = linked[whole] >= LINKS * (plain[whole] + linked[whole])
+    return out
+
+
 def extract(source: str | None) -> str:
     """Main text of one page."""
     page = _Page(source or "")
@@ -272,8 +296,7 @@ def extract(source: str | None) -> str:
     for k in range(box + 1, len(page.tag)):
         within[k] = within[page.parent[k]]
         inner[k] |= inner[page.parent[k]]
-    links = np.array([linked >= LINKS * len(t) and page.tag[at] in ("li", "ul", "ol", "div", "td", "span") for at, t, linked in blocks])
-    take = np.array([within[at] for at, _, _ in blocks]) & ~links
+    take = np.array([within[at] for at, _, _ in blocks]) & ~_menus(page, blocks, seeds, inner)
     if page.tag[box] in ("", "html", "body"):
         own = np.isin(of, np.unique(of[seeds]))
         first, last = np.flatnonzero(seeds)[[0, -1]]
