@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textward.llm import chat_format, components, line_dedup, quality_rules, shingle_join, toxicity, vector_join
@@ -149,6 +150,25 @@ def test_shingle_classes_against_brute_force(spark, monkeypatch, words, percent,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == shingle_brute(rows, words, percent)
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_shingle_sets_of_few_words(words):
+    texts = [" ".join("abcdef"[:n]) for n in range(7)]
+    together = shingle_join.shingle_sets(pa.array([*texts, "x y z w v u t s"]), words)
+    for n, text in enumerate(texts):
+        for alone in ([text], ["", text, None]):
+            got = shingle_join.shingle_sets(pa.array(alone, pa.string()), words)[alone.index(text)]
+            assert got.tolist() == together[n].tolist() and len(got) == (max(1, n - words + 1) if n else 0)
+
+
+def test_shingle_classes_of_one_short_row(spark):
+    for n in range(6):
+        for words, percent in ((4, 85), (5, 80)):
+            docs = spark.createDataFrame([(7, " ".join("abcde"[:n]))], "doc_id long, text string").coalesce(1)
+            sets = shingle_join._sets(docs, words).collect()
+            assert [(r.doc_id, r.n_shingles) for r in sets] == [(7, max(1, n - words + 1) if n else 0)]
+            shingle_join._signature_rows(docs, words, percent, 1.0).collect()
+
+
 def test_shingle_classes_of_nothing_and_of_copies(spark):
     schema = "doc_id long, text string, component_id string"
     assert shingle_join.classes(spark.createDataFrame([], schema)).count() == 0

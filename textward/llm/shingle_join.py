@@ -63,7 +63,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     n = np.bincount(rows, minlength=len(split))
     ends = np.cumsum(n)
     x = hashes.copy()
-    for k in range(1, words):
+    for k in range(1, min(words, len(x))):
         x[: len(x) - k] = _mix(x[: len(x) - k]) * _C3 + hashes[k:]
     out = []
     for b, m in zip(ends.tolist(), n.tolist(), strict=True):
