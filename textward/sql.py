@@ -1,4 +1,4 @@
-"""Functions for SQL: analyze_prompt(text) and the table function scan_signals(text)."""
+"""For SQL: the table function scan_signals(text), and views over whole tables with the analysis's columns."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ _FLAGS = 2  # re.IGNORECASE
 
 
 def register(spark: SparkSession) -> None:
-    """scan_signals gives a row for every catalogue and heuristic pattern found; screened is a view maker for whole tables."""
+    """scan_signals gives a row for every catalogue and heuristic pattern found; screened_view() makes views of whole tables."""
 
     @F.udtf(returnType="kind string, name string, weight double")
     class ScanSignals:
