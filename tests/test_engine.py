@@ -222,6 +222,13 @@ def test_sql_functions(spark):
     assert {r["kind"] for r in rows} >= {"pattern", "directive"}
 
 
+def test_scan_signals_finds_the_repetition(spark):
+    sql.register(spark)
+    name = next(p[1] for p in catalog.PATTERNS if p[0] == catalog.REPETITION)
+    count = lambda text: sum(r["name"] == name for r in spark.sql(f"SELECT name FROM scan_signals('{text}')").collect())
+    assert (count("abcdefghij" * 11), count("abcdefghij" * 10)) == (1, 0)
+
+
 def test_settings_are_checked():
     for bad in ({"max_length": 0}, {"nothing": 1}, {"threat_threshold": 2.0}, {"patterns": {"sensitivity": "Odd"}}):
         with pytest.raises(ValueError):

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textward import catalog
+from textward.functions.repetition import repeats
 
 _FLAGS = 2  # re.IGNORECASE
 
@@ -23,11 +24,14 @@ def register(spark: SparkSession) -> None:
             rows = [("pattern", p[1], catalog.SEVERITY_CONFIDENCE[p[2]], p[4].replace("(?i)", "")) for p in catalog.PATTERNS if p[0] != catalog.REPETITION]
             rows += [("directive", d, w, p) for p, w, d in catalog.DIRECTIVES] + [("role", d, w, p) for p, w, d in catalog.ROLES]
             self.rows = [(k, n, w, re.compile(p, _FLAGS)) for k, n, w, p in rows]
+            self.repetition = [("pattern", p[1], catalog.SEVERITY_CONFIDENCE[p[2]]) for p in catalog.PATTERNS if p[0] == catalog.REPETITION]
 
         def eval(self, text: str) -> Iterator[tuple[str, str, float]]:
             for kind, name, weight, pattern in self.rows:
                 if text is not None and pattern.search(text):
                     yield kind, name, weight
+            if text is not None and repeats(text):
+                yield from self.repetition
 
     spark.udtf.register("scan_signals", ScanSignals)
 
