@@ -1,14 +1,16 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, each present or not, hashed into 2^BITS buckets: its words (lower-cased, without punctuation at the ends),
-the words' first four and five letters, pairs of neighbouring words, and pairs with one word between. Weights are learned
-with per-coordinate rates and an L1 term that leaves most at exactly zero; only (bucket, weight) pairs other than zero go to
-the executors, at most 2^BITS of them.
-
-The classifier is fitted on at most max_rows labelled rows, those with the smallest hashes of doc_id; this bound is the
-`max_rows` parameter. Scoring reads every whole text. A null or empty text has no features and gets the bias alone. Rows
-without a label, or with a null doc_id, are not learned from. Without any label of either kind every score is 0.5 or the
-bias. Repeated rows are scored each; other columns are not used. An empty table gives an empty result.
+A word is lower-cased, without punctuation at its ends, and cut to its stem, the first STEM letters, as one abusive stem may
+have many endings. Features of a text, each present or not, hashed into 2^BITS buckets: its words, pairs of neighbouring words,
+and pairs with one word between. Weights are learned with per-coordinate rates and an L1 term that leaves most at exactly
+zero; only (bucket, weight) pairs other than zero leave the task that learns, at most 2^BITS of them.
+
+The classifier is fitted in one task on at most max_rows labelled rows, those with the smallest hashes of doc_id; this bound
+is the `max_rows` parameter. Features are made where the rows are. Scoring reads every whole text. A null or empty text has
+no features and gets the bias alone. Rows without a label, or with a null doc_id, are not learned from; a doc_id with labels
+of both kinds counts as toxic. Where the labelled rows are none or all of one kind there is no classifier: every score is 0.
+Repeated rows are scored each; other columns are not used. An empty table gives an empty result. Neither the order of rows
+nor their partitions matter.
 """
 
 from __future__ import annotations
@@ -29,21 +31,12 @@ from .common import ship
 BITS = 20
 MASK = (1 << BITS) - 1
 MAX_ROWS = 8_000
-EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 5.0, 1.0
+STEM, EPOCHS, ALPHA, BETA, L1, L2 = 5, 6, 2.0, 1.0, 8.0, 1.0
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\~`^+=@"
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """Columns: hash of the word, of its first four letters, of its first five; -1 where there is none."""
-    out = np.empty((len(words), 3), np.int64)
-    crc = zlib.crc32
-    for k, word in enumerate(words):
-        bare = word.lower().strip(EDGES)
-        raw = bare.encode()
-        out[k, 0] = crc(raw) if raw else -1
-        out[k, 1] = crc(bare[:4].encode(), 0x4000) if len(bare) >= 4 else -1
-        out[k, 2] = crc(bare[:5].encode(), 0x5000) if len(bare) >= 5 else -1
-    return out
+def stem(word: str) -> bytes:
+    return word.lower().strip(EDGES)[:STEM].encode()
 
 
 def _mix(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
@@ -56,38 +49,34 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     rows = np.repeat(np.arange(len(split), dtype=np.int32), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     coded = split.flatten().dictionary_encode()
-    hashes = _hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    word = hashes[:, 0]
-    bare = word >= 0
-    rows, hashes, word = rows[bare], hashes[bare], word[bare]
+    stems = map(stem, coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    word = np.fromiter((zlib.crc32(x) if x else -1 for x in stems), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+    some = word >= 0
+    rows, word = rows[some], word[some]
     yield rows, _mix(word, word, 1)
-    for k in (1, 2):
-        has = hashes[:, k] >= 0
-        yield rows[has], _mix(hashes[has, k], hashes[has, k], 1 + k)
     for gap in (1, 2):
         same = rows[gap:] == rows[:-gap]
         yield rows[gap:][same], _mix(word[:-gap][same], word[gap:][same], 3 + gap)
 
 
 def _feature_sets(docs: DataFrame) -> DataFrame:
-    """label and the distinct buckets (binary int32) of every row of (text, label)."""
+    """place, label and the distinct buckets (binary int32) of every row of (text, place, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, most=4_000_000):
-                found = [(r.astype(np.int64) << BITS) | b for r, b in features(part.column(0))]
-                both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                both = np.unique(np.concatenate([(r.astype(np.int64) << BITS) | b for r, b in features(part.column(0))]))
                 cuts = np.searchsorted(both >> BITS, np.arange(len(part) + 1))
                 buckets = (both & MASK).astype(np.int32)
                 sets = [buckets[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.binary())], ["label", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(sets, pa.binary())], ["place", "label", "buckets"])
 
-    return docs.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, buckets binary")
+    return docs.select("text", "place", F.col("label").cast("int").alias("label")).mapInArrow(run, "place long, label int, buckets binary")
 
 
 def ftrl(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by bucket, and the bias."""
-    z, n, w = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, bias_n = 0.0, 1.0
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
@@ -101,34 +90,54 @@ def ftrl(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]
             n[at] = ns + g * g
             bias_n += g * g
             bias -= ALPHA / math.sqrt(bias_n) * g
-    w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    return w, bias
+    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)), bias
 
 
-def learn(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Weights and bias from the bounded sample of (doc_id, text, label)."""
+#: Buckets and their weights, ascending, none of them zero; and the bias.
+Weights = tuple[np.ndarray, np.ndarray, float]
+
+
+def sample_of(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """text, place (a hash of doc_id) and label of the rows with the smallest places, about nine tenths of max_rows or all."""
+    usable = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("text", "label", F.xxhash64(F.lit("sample"), F.col("doc_id")).alias("place"))
+    n = usable.count()
+    # a tenth less than the bound, for the spread of the hash
+    return usable if n <= max_rows else usable.where(F.col("place") < -(2**63) + 2**64 * 9 * max_rows // (10 * n))
+
+
+def learn(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Weights | None:
+    """The classifier, or None where the sample of (doc_id, text, label) does not have labels of both kinds."""
     ship(labelled.sparkSession)
-    usable = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    share = max_rows / max(1, usable.select(F.count(F.lit(1))).first()[0])
-    rank = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000))
-    # a tenth less than the bound, for the spread of the hash; the limit then holds the bound itself
-    sample = usable if share >= 1 else usable.where(rank < int(900_000 * share)).limit(max_rows)
-    table = _feature_sets(sample).toArrow()
-    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in table["buckets"]]
-    order = sorted(range(len(sets)), key=lambda k: zlib.crc32(sets[k].tobytes()))  # whatever order the rows came in
-    labels = table["label"].to_numpy()
-    return ftrl([sets[k] for k in order], labels[order].astype(float)) if len(sets) else (np.zeros(1 << BITS), 0.0)
-
-
-def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) -> DataFrame:
-    """The `keep` columns and `score` of every row; the weights other than zero go along with the code."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, labels = [], []
+        for batch in batches:  # in order of place; no more than max_rows, whatever doc_ids repeat
+            for label, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if len(sets) < max_rows:
+                    sets.append(np.frombuffer(x, np.int32))
+                    labels.append(label)
+        if len(set(labels)) < 2:
+            return
+        w, bias = ftrl(sets, np.array(labels, float))
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(w[at], bias))], ["bucket", "weight"])
+
+    sets = _feature_sets(sample_of(labelled, max_rows)).repartition(1).sortWithinPartitions("place", "label", "buckets")
+    found = sets.mapInArrow(fit, "bucket int, weight double").toArrow()  # the weights other than zero, at most 2^BITS
+    if not len(found):
+        return None
+    bucket, weight = found["bucket"].to_numpy(), found["weight"].to_numpy()
+    return bucket[:-1], weight[:-1], float(weight[-1])
+
+
+def score(docs: DataFrame, weights: Weights | None, keep: list[str]) -> DataFrame:
+    """The `keep` columns and `score` of every row; the weights go along with the code."""
+    if weights is None:
+        return docs.select(*keep, F.lit(0.0).alias("score"))
     ship(docs.sparkSession)
-    at = np.flatnonzero(weights).astype(np.int32)
-    values = weights[at]
-    sent = docs.sparkSession.sparkContext.broadcast((at, values))
+    spots, own, bias = weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spots, own = sent.value
         dense = np.zeros(1 << BITS)
         dense[spots] = own
         live = dense != 0
@@ -154,23 +163,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    marks = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id"))).dropna().dropDuplicates(["doc_id"])
+    marks = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id"))).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     return docs.select("doc_id", "text").join(marks, "doc_id")
 
 
 def report(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    weights, bias = learn(_labelled(docs, labels), max_rows)
+    weights = learn(_labelled(docs, labels), max_rows)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = score(ids, weights, bias, ["doc_id"])
+    scored = score(ids, weights, ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The documents with a score below 0.5, with their own columns."""
-    weights, bias = learn(_labelled(docs, labels), max_rows)
+    """The documents with a score below 0.5, with their own columns; all of them where labels are too few for a classifier."""
+    weights = learn(_labelled(docs, labels), max_rows)
     names = docs.columns
     plain = [f"c{k}" for k in range(len(names))]  # whatever the columns are called
     inner = docs.select(*[docs[c].alias(p) for c, p in zip(names, plain, strict=True)]).withColumn("text", F.col(plain[names.index("text")]))
-    scored = score(inner, weights, bias, plain)
+    scored = score(inner, weights, plain)
     return scored.where(F.col("score") < 0.5).select(*[F.col(p).alias(c) for p, c in zip(plain, names, strict=True)])
