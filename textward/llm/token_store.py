@@ -5,8 +5,8 @@ place), first (ids before it in its part), doc_ids (int64), lengths (ids of each
 the code stream, most significant bit first) and marks (bit offset of every EVERY-th id, uint32). `<path>-code` holds the
 code: code lengths by id (uint8), from which the canonical codes follow. All integers are little-endian.
 
-Documents are encoded once into a store of plain ids (zstd), whose global counts give the code; a range partition by doc_id
-then sorts them, and each partition codes its blocks. A null text counts as empty; a null doc_id sorts first; documents that
+Documents are encoded once into a store of plain ids (zstd), each task's last row being its counts of ids, whose sums give the
+code; a range partition by doc_id then sorts the documents, and each partition codes its blocks. A null text counts as empty; a null doc_id sorts first; documents that
 repeat a doc_id are ordered by their ids. An empty table gives an empty store. Columns other than doc_id and text are unused.
 """
 
@@ -106,37 +106,47 @@ class Code:
         return out.reshape(-1)[:n]
 
 
+ENCODED = "doc_id long, ids binary, counts binary"
+
+
 def encode_ids(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id and ids (binary, little-endian, 2 bytes each if the vocabulary allows, else 4) of every whole text, `end` appended."""
+    """doc_id and ids (binary, little-endian, 2 bytes each if the vocabulary allows, else 4) of every whole text, `end` appended; and
+    a row for each task with counts alone: pairs of id and count (int64)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteEncoder.load(tokenizer)
         kind = "<u2" if encoder.size <= 65536 else "<u4"
+        total = np.zeros(max(encoder.size, end + 1), np.int64)
         for batch in batches:
             for part in chunks(batch):
                 offsets, ids = encoder.encode(part.column(1))
+                total += np.bincount(ids, minlength=len(total))
+                total[end] += len(part)
                 raw = np.insert(ids, offsets[1:], end).astype(kind)
                 ends = (offsets + np.arange(len(offsets))) * raw.itemsize
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())], ["doc_id", "ids"])
+                column = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), column, pa.nulls(len(part), pa.binary())], ["doc_id", "ids", "counts"])
+        used = np.flatnonzero(total)
+        if len(used):
+            own = np.stack([used, total[used]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([own], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
-def _counts(store: DataFrame, size: int, kind: str) -> np.ndarray:
+def _counts(store: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size) if len(x.as_buffer()) > 2 * size else 0
-            small = [x.as_buffer() for x in batch.column(0) if len(x.as_buffer()) <= 2 * size]
-            if small:
-                total += np.bincount(np.frombuffer(b"".join(small), kind), minlength=size)
+                ids, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+                total[ids] += n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for row in store.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary's size
+    for row in store.select("counts").where("counts is not null").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary's size
         out[row["id"]] = row["n"]
     return out
 
@@ -144,12 +154,12 @@ def _counts(store: DataFrame, size: int, kind: str) -> np.ndarray:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
     """Write the texts' ids at `path` in this module's format."""
     spark = docs.sparkSession
-    size = ByteEncoder.load(tokenizer).size
-    kind = "<u2" if size <= 65536 else "<u4"
+    size = max(ByteEncoder.load(tokenizer).size, end + 1)
+    kind = "<u2" if ByteEncoder.load(tokenizer).size <= 65536 else "<u4"
     plain = work_dir(spark, "ids")
     encode_ids(docs, tokenizer, end).write.option("compression", "zstd").parquet(plain)
-    store = spark.read.schema("doc_id long, ids binary").parquet(plain)
-    lengths = code_lengths(_counts(store, size, kind))
+    store = spark.read.schema(ENCODED).parquet(plain)
+    lengths = code_lengths(_counts(store, size))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}-code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +186,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
             yield flush()
 
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = store.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ranged = store.where("counts is null").select("doc_id", "ids").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "ids")
     ranged.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(path)
 
 
