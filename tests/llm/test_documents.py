@@ -164,7 +164,7 @@ def test_shingle_classes_of_one_short_row(spark):
     for n in range(6):
         for words, percent in ((4, 85), (5, 80)):
             docs = spark.createDataFrame([(7, " ".join("abcde"[:n]))], "doc_id long, text string").coalesce(1)
-            sets = shingle_join._sets(docs, words).collect()
+            sets = shingle_join._sets(shingle_join._rows(docs), words).collect()
             assert [(r.doc_id, r.n_shingles) for r in sets] == [(7, max(1, n - words + 1) if n else 0)]
             shingle_join._signature_rows(docs, words, percent, 1.0).collect()
 

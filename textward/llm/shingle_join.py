@@ -14,10 +14,11 @@ similar only if c and the smaller number of the two sets' heavy buckets make up
 buckets or more. They are joined cluster by cluster in blocks of BLOCK sets: overlaps come from products of token
 columns, only a spanning forest of the links leaves a block pair. No bucket is held in memory as rows of all pairs, no case is dropped.
 
-Equal sets are one node from the start. Shingles and words are known by 64-bit hashes, a set by the 64-bit sum of its mixed
-hashes. A null or empty text has no words, an empty set, and is linked with nothing. Fewer words than a shingle are one
-shingle. Rows that repeat a doc_id share a component; a null doc_id is compared but names no component if others can. An
-empty table gives no rows; other columns are unused.
+Equal sets are one node from the start; a task gives a node's signatures once. Shingles and words are known by 64-bit hashes,
+a set by the 64-bit sum of its mixed hashes. A null or empty text has no words, an empty set, and is linked with nothing. Fewer
+words than a shingle are one shingle. Rows are told apart by doc_id and text: different texts under one doc_id are compared as
+any others are. A null doc_id is compared but names no component if others can. An empty table gives no rows; other columns
+are unused.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 
 from .byte_tokens import chunks
 from .common import saved, ship
-from .components import components
+from .components import components, forest
 
-#: Components of a light bucket at most; signatures that a chance meeting costs; segments beyond the pigeonhole's; sets in a block.
-LIGHT, CANDIDATE, SLACK, BLOCK = 8, 0.5, 2, 2_000
+#: Components of a light bucket at most; signatures that a chance meeting costs; segments beyond the pigeonhole's; sets in a
+#: block; nodes that a task remembers.
+LIGHT, CANDIDATE, SLACK, BLOCK, SEEN = 8, 0.5, 2, 2_000, 200_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -136,17 +138,17 @@ def signatures(x: np.ndarray, part: int, m: int, d: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (null for an empty set) of every document."""
+    """doc_id, text_hash, n_shingles and node (null for an empty set) of every row of (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, most=8_000_000):
-                sets = shingle_sets(part.column(1), words)
+                sets = shingle_sets(part.column(2), words)
                 n = np.array([len(x) for x in sets], np.int64)
                 nodes = pa.array([_node(x) if len(x) else None for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), nodes], ["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), nodes], ["doc_id", "text_hash", "n_shingles", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> DataFrame:
@@ -155,12 +157,15 @@ def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> D
     his = bands(percent, 50_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies need not be dealt again
         for batch in batches:
             for part in chunks(batch, most=2_000_000):
                 sigs, nodes, needs = [], [], []
                 for x in shingle_sets(part.column(0), words):
-                    if not len(x):
+                    if not len(x) or (node := _node(x)) in seen:
                         continue
+                    if len(seen) < SEEN:
+                        seen.add(node)
                     band = int(np.searchsorted(his, len(x)))
                     for b in (band, band - 1):
                         if b < 0 or b < band and len(x) > his[b] * 100 // percent:
@@ -169,7 +174,7 @@ def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> D
                             plans[b] = allocation(his[b], percent, sets)
                         if plans[b][0]:
                             sigs.append(signatures(x, b, *plans[b]))
-                            nodes.append(np.full(len(sigs[-1]), _node(x), np.int64))
+                            nodes.append(np.full(len(sigs[-1]), node, np.int64))
                             needs.append(np.full(len(sigs[-1]), need(len(x), b, his, percent, *plans[b]), np.int32))
                 if sigs:
                     columns = [np.concatenate(sigs).view(np.int64), np.concatenate(nodes), np.concatenate(needs)]
@@ -216,30 +221,27 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of nodes that reach the threshold, with the nodes' documents as u and v."""
+    """The pairs (u, v) of nodes that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
-                both = pa.concat_arrays([part.column(4), part.column(5)]).dictionary_encode()
+                both = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
                 index = both.indices.to_numpy()
                 sets = shingle_sets(both.dictionary, words)
-                nodes = [_node(s) for s in sets]
                 n, good = len(part), []
-                for k, (x, y) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    i, j = index[k], index[n + k]
-                    if nodes[i] != x or nodes[j] != y:
-                        continue  # another text under a repeated doc_id
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                for k in range(n):
+                    x, y = sets[index[k]], sets[index[n + k]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
                         good.append(k)
-                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(good, pa.int64())) for c in range(4)], ["x", "y", "u", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(good, pa.int64())) for c in range(2)], ["u", "v"])
 
-    left = texts.select(F.col("node").alias("x"), F.col("doc_id").alias("u"), F.col("text").alias("tx"))
-    right = texts.select(F.col("node").alias("y"), F.col("doc_id").alias("v"), F.col("text").alias("ty"))
-    joined = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "u", "v", "tx", "ty")
-    return joined.mapInArrow(run, "x long, y long, u long, v long")
+    left = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
+    right = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
+    joined = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
+    return joined.mapInArrow(run, "u long, v long")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -273,50 +275,65 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _join_cluster(nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) among the rows (cluster, size, doc_id, node, text) of each cluster: a spanning forest of each block pair."""
+    """Links (u, v) among the rows (cluster, size, node, text) of each cluster: a spanning forest of each block pair."""
 
     def run(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         block = table["block"].to_numpy()
         sets = shingle_sets(table["text"].combine_chunks(), words)
-        ids = table["doc_id"].to_numpy()
-        good = np.array([_node(t) == n for t, n in zip(sets, table["node"].to_pylist(), strict=True)])  # not another text under a repeated doc_id
-        one, two = np.flatnonzero((block == x) & good), np.flatnonzero((block == y) & good)
+        ids = table["node"].to_numpy()
+        one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
         common = _overlaps([sets[k] for k in one], [sets[k] for k in two]).astype(np.int64)
         n = np.array([len(t) for t in sets])
         i, j = np.nonzero(100 * common >= percent * (n[one][:, None] + n[two][None, :] - common))
-        i, j = one[i], two[j]
-        root = np.arange(len(sets))
-        while True:  # each set to the smallest row it is linked with, until nothing changes
-            before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            if (root == before).all():
-                break
-        own = np.flatnonzero(root != np.arange(len(sets)))
-        return pa.table({"u": ids[own], "v": ids[root[own]]})
+        u, v = forest(ids[one[i]], ids[two[j]])
+        return pa.table({"u": u, "v": v})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "node", "text")
+    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "text")
     return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "u long, v long")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    base, named = _classes(docs, words, percent)
+    return base.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """_sets() of the documents; and by node the component and its first row: node, component_id, first_id and first_hash."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _rows(docs)
     base = saved(_sets(rows, words), "sets")
-    firsts = saved(base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    sets = docs.count() / 8  # about what one band's partition holds
+    # a node's first row, of a null doc_id only if there is no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    firsts = saved(base.where(F.col("node").isNotNull()).groupBy("node").agg(first), "nodes")
+    repeated = bool(base.groupBy("doc_id", "text_hash").count().where("count > 1").take(1))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """node and text of the nodes given."""
+        used = firsts.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("h"))
+        found = rows.join(used, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["text_hash"] == F.col("h"))).select("node", "text")
+        return found.dropDuplicates(["node"]) if repeated else found
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+        return _verified(pairs, saved(texts(ends), "texts"), words, percent)
+
+    sets = base.count() / 8  # about what one band's partition holds
     dealt = _signature_rows(rows, words, percent, sets).repartition("sig").sortWithinPartitions("sig", "node")
     buckets = saved(dealt.mapInArrow(_buckets, "sig long, first long, node long, need int"), "buckets")
 
     # pairs with the bucket's first set, met twice or more
     pairs = buckets.where("node <> first").groupBy(F.col("first").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     pairs = saved(pairs.where("n >= 2").select("x", "y"), "pairs")
-    links = saved(_verified(pairs, _texts(rows, firsts, pairs), words, percent).select("u", "v"), "links")
+    links = saved(verified(pairs), "links")
     label = _labels(firsts, components(links))
 
     # buckets that are not within one component
@@ -335,36 +352,40 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     met = across.join(left, ["sig", "c1"]).join(right, ["sig", "c2"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     side = lambda k: counts.select(F.col("node").alias(k), F.col("need").alias(f"need_{k}"), F.col("heavy").alias(f"heavy_{k}"))
     met = met.join(side("x"), "x").join(side("y"), "y").where(F.col("n") + F.least("heavy_x", "heavy_y") >= F.greatest("need_x", "need_y"))
-    more = saved(met.select("x", "y"), "more")
-    found = _verified(more, _texts(rows, firsts, more), words, percent).select("u", "v")
+    found = verified(saved(met.select("x", "y"), "more"))
 
     # sets that may meet in heavy buckets alone, in clusters that such buckets connect
     crowded = counts.where("heavy >= need").select("node")
     if crowded.take(1):
         within = mixed.where("heavy").join(crowded, "node", "left_semi").select("sig", "node")
         head = within.groupBy("sig").agg(F.min("node").alias("head"))
-        cluster = components(within.join(head, "sig").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
+        cluster = components(within.join(head, "sig").select(F.col("node").alias("u"), F.col("head").alias("v")))
         sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        members = cluster.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size").join(firsts, "node")
-        found = found.unionByName(_join_cluster(members.join(rows, "doc_id"), words, percent))
-    label = _labels(firsts, components(saved(links.union(found.select("u", "v")), "links")))
-    return base.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+        members = cluster.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
+        found = found.unionByName(_join_cluster(members.join(texts(members.select("node")), "node"), words, percent))
+    label = saved(_labels(firsts, components(links.union(found))), "labels")
+    least = label.join(firsts, "node").groupBy("c").agg(F.min("first").alias("least"))
+    named = label.join(least, "c").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("first_hash"))
+    return base, named
 
 
 def _labels(firsts: DataFrame, known: DataFrame) -> DataFrame:
-    """node and c, its component so far; a set without links is alone."""
-    return firsts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("c"))
-
-
-def _texts(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, doc_id and text of the sets in pairs."""
-    used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    return saved(rows.join(firsts.join(used, "node", "left_semi"), "doc_id").select("node", "doc_id", "text"), "texts")
+    """node and c, its component so far, named by a node; a set without links is alone."""
+    return firsts.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with its own columns; rows that repeat it are kept once."""
-    found = classes(docs, words, percent)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost")).distinct()
-    return docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == F.col("lost"), "left_anti")
-
+    """One document of each group of two rows or more: that with the smallest doc_id (null after all others, the smallest hash of
+    the text where two texts share it), with its own columns; of rows that repeat both, one. Texts without words stay."""
+    base, named = _classes(docs, words, percent)
+    of = base.where(F.col("node").isNotNull()).join(named, "node")
+    own = of.select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("stays"))
+    marks = own.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    marks = saved(marks.select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"), "stays"), "marks")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("marked_id")) & (F.xxhash64(docs["text"]) == F.col("marked_hash"))
+    rest = docs.join(marks.hint("shuffle_hash"), same, "left_anti")
+    if not marks.where("stays").take(1):
+        return rest
+    again = docs.join(marks.where("stays").hint("shuffle_hash"), same)
+    row = F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row")
+    return rest.unionByName(again.groupBy("marked_id", "marked_hash").agg(row).select("row.*"))
