@@ -145,7 +145,7 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.
     return out
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 16_000_000):
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000):
     """Slices of a batch of at most that many bytes of text; a longer text is alone in its slice."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -154,3 +154,4 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 16_000_000):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()

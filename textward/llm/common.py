@@ -19,9 +19,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a temp folder only where that is unset."""
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); where that is unset, a temp folder on a single
+    machine, and an error on a cluster, whose hosts would each write into their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "textward-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/textward/{what}-{uuid.uuid4().hex}"

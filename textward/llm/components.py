@@ -70,7 +70,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node that links reach) for every node with a link to another; links has columns u and v
-    (long). Links with a null end or to the node itself say nothing."""
+    (long). Links with a null end or to the node itself say nothing. Links that a Python function made should be saved first, so
+    that a task does not need a second Python process."""
     ship(links.sparkSession)
     own = links.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long")
     edges, before = _written(own.distinct())

@@ -363,7 +363,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         members = cluster.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
         found = found.unionByName(_join_cluster(members.join(texts(members.select("node")), "node"), words, percent))
-    label = saved(_labels(firsts, components(links.union(found))), "labels")
+    label = saved(_labels(firsts, components(saved(links.union(found), "links"))), "labels")
     least = label.join(firsts, "node").groupBy("c").agg(F.min("first").alias("least"))
     named = label.join(least, "c").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("first_hash"))
     return base, named
