@@ -50,7 +50,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: A classifier and a packing have no SQL; tests hold every stage against a brute-force version.
+#: A classifier and a packing have no SQL; tests/llm/test_edges.py holds each stage against a slow version on the same input.
 ORACLE_SQL = None
 
 
