@@ -5,6 +5,7 @@ Real rows hold few attacks, so many queries screen `prompts`: each conversation
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,8 +95,8 @@ pat AS (SELECT id, coalesce(list_max(list_transform(h, lambda x: x.c)), 0.0) AS
         list_filter(h, lambda x: x.c = list_max(list_transform(h, lambda y: y.c)))[1].cat AS category, list_filter(h, lambda x: x.c = list_max(list_transform(h, lambda y: y.c)))[1].sev AS severity FROM px)"""
 
 
-def _compound_sql(rows: list[tuple[str, float, str]]) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}, 'i') THEN {w}::DOUBLE END" for p, w, _ in rows) + "], lambda x: x IS NOT NULL)"
+def _compound_sql(rows: list[tuple[str, float]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}, 'i') THEN {w}::DOUBLE END" for p, w in rows) + "], lambda x: x IS NOT NULL)"
 
 
 SIGNAL_NAMES = ["excessive_length", "special_char_ratio", "delimiter_injection", "instruction_language", "role_switching", "anomalous_structure", "encoding_patterns", "suspicious_unicode"]
@@ -349,9 +350,53 @@ def casc_full(spark, d):
     return v.select("id", "verdict.decision_layer", "verdict.is_threat", _r("verdict.confidence").alias("confidence"), F.array_join("verdict.executed_layers", ",").alias("executed"))
 
 
+def casc_production(spark, d):
+    """The whole cascade with scoring, over prompts; the repetition pattern alone, which SQL lacks, is left out."""
+    v = cascade.analyze(_prompts(spark, d), "text", Config(patterns=NO_REPETITION))
+    return v.select("id", "verdict.decision_layer", "verdict.is_threat", _r("verdict.confidence").alias("confidence"), F.array_join("verdict.executed_layers", ",").alias("executed"))
+
+
+def casc_scored(spark, d):
+    """Scoring reaches and decides more rows where its threshold is low."""
+    own = Config(language=Language(enabled=False), patterns=NO_REPETITION, ml=Ml(threshold=0.3))
+    v = cascade.analyze(_prompts(spark, d), "text", own)
+    return v.select("id", "verdict.decision_layer", "verdict.is_threat", _r("verdict.confidence").alias("confidence"), F.array_join("verdict.executed_layers", ",").alias("executed"))
+
+
+def casc_minimal(spark, d):
+    """Which layers' structs are there without include_breakdown."""
+    v = cascade.analyze(_prompts(spark, d), "text", dataclasses.replace(LIGHT, include_breakdown=False))
+    return v.select("id", F.col("patterns").isNotNull().alias("patterns"), F.col("heuristics").isNotNull().alias("heuristics"))
+
+
+def casc_failures(spark, d):
+    """A detector that fails on every seventh prompt, closed and open."""
+    t = F.col("_text")
+    failing = lambda x: F.when(F.pmod(F.length(x), F.lit(7)) != 0, language.detect(t))
+    out = None
+    for on_error in ("FailClosed", "FailOpen"):
+        v = cascade.sided(_prompts(spark, d), "text", dataclasses.replace(LIGHT, on_error=on_error), detector=failing)
+        part = v.select("id", F.lit(on_error).alias("on_error"), "verdict.decision_layer", "verdict.status", "side")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ml_confidence(spark, d):
+    """The score of all weighted features."""
+    ship(spark)
+    t = F.col("text")
+    s = _prompts(spark, d).withColumn("s", features.char_features()(t))
+    return s.select("id", F.round(ml.feature_score(features.features(t, F.col("s")), Config()), 5).alias("score"))
+
+
+def feat_compression(spark, d):
+    ship(spark)
+    s = _prompts(spark, d).withColumn("s", features.char_features()(F.col("text")))
+    return s.select("id", _r("s.compression").alias("compression"), F.col("s.depth").cast("long").alias("depth"))
+
+
 def guard_split(spark, d):
-    passed, stopped = cascade.guard(_prompts(spark, d), "text", LIGHT)
-    return passed.select("id", F.lit("pass").alias("side")).union(stopped.select("id", F.lit("block")))
+    return cascade.sided(_prompts(spark, d), "text", LIGHT).select("id", "side")
 
 
 def lifecycle_events(spark, d):
@@ -457,7 +502,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         val_errors, val_suspicious, lang_tokens, lang_detect, lang_detect_prompts, lang_gate, lang_confusion, pat_hits, pat_verdict, pat_verdict_documents, pat_allowlist, pat_sensitivity, pat_first_match, pat_custom, cat_changes,
         heu_signals, heu_signals_paranoid, heu_score, heu_documents, heu_legacy, heu_blocklist, heu_top, feat_statistical, feat_character, feat_lexical, feat_structural, feat_characters_udf, feat_entropy, ml_score, ml_full, ml_ensemble,
-        casc_decision, casc_no_language, casc_threat_info, casc_full, guard_split, lifecycle_events, tel_by_source, tel_lengths, tel_severity, rate_by_label, events_windowed, route_requests, json_prompt, problem_response, conversations_joined, pages_scan, sem_request, sem_answer, tok_ids,
+        casc_decision, casc_no_language, casc_threat_info, casc_full, casc_production, casc_scored, casc_minimal, casc_failures, ml_confidence, feat_compression, guard_split, lifecycle_events, tel_by_source, tel_lengths, tel_severity, rate_by_label, events_windowed, route_requests, json_prompt, problem_response, conversations_joined, pages_scan, sem_request, sem_answer, tok_ids,
     ]
     return {f.__name__: f for f in found}
 
@@ -499,6 +544,45 @@ def structural_sql() -> dict[str, str]:
     }
 
 
+def chars_sql() -> str:
+    """CTEs up to ch(id, entropy, compression, depth), from single characters and substrings."""
+    return """
+cu AS (SELECT id, t, length(t) AS n, upper(t) AS up FROM p),
+ce AS (SELECT id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM p WHERE t <> ''),
+cg AS (SELECT id, c, count(*) AS k, sum(count(*)) OVER (PARTITION BY id) AS total FROM ce GROUP BY id, c),
+chh AS (SELECT id, -sum(k / total * log2(k / total)) AS h FROM cg GROUP BY id),
+cw AS (SELECT id, n, up, unnest(range(3, least(10, n // 2) + 1)) AS size FROM cu WHERE n >= 10),
+cs AS (SELECT id, n, size, substr(up, i, size) AS s FROM (SELECT *, unnest(range(1, n - size + 2)) AS i FROM cw)),
+cr AS (SELECT id, sum(k) AS repeated FROM (SELECT id, size, count(*) - count(DISTINCT s) AS k FROM cs GROUP BY id, size) GROUP BY id),
+cd AS (SELECT id, i, sum(CASE WHEN c IN ('(', '[', '{', '<') THEN 1 WHEN c IN (')', ']', '}', '>') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s FROM ce),
+cm AS (SELECT id, s - least(0, min(s) OVER (PARTITION BY id ORDER BY i)) AS depth FROM cd),
+cx AS (SELECT id, max(depth)::BIGINT AS depth FROM cm GROUP BY id),
+ch AS (SELECT id, coalesce(least(h / 7.0, 1.0), 0.0) AS entropy, coalesce(least(repeated / (n * 2), 1.0), 0.0) AS compression, coalesce(depth, 0) AS depth FROM cu LEFT JOIN chh USING (id) LEFT JOIN cr USING (id) LEFT JOIN cx USING (id))"""
+
+
+def score_sql() -> str:
+    """CTEs sf, sc(id, score) from x and ch: the sigmoid of all weighted features."""
+    parts = lexical_sql() | CHARACTER_SQL | {k: v for k, v in structural_sql().items() if k in ("repeateddelimiters", "xmltags", "base64content", "templateplaceholders")}
+    parts |= {"entropy": "entropy", "compressionratio": "compression"}
+    mixed = " + ".join(f"CASE WHEN {_any_sql('t', words)} THEN {w} ELSE 0.0 END" for words, w in ((["```", "def ", "function"], 0.2), (["##", "**", "__"], 0.15), (["</", "/>"], 0.2)))
+    special = r"length(regexp_replace(t, '[\p{L}\p{Nd}\s\x0B\p{Z}\x{85}\x{1c}-\x{1f}]', '', 'g')) / length(t)"
+    parts["structuralcomplexity"] = f"CASE WHEN length(t) = 0 THEN 0.0 ELSE least(least(depth / 10, 0.3) + {mixed} + least({special}, 0.15), 1.0) END"
+    total = " + ".join(f"CASE WHEN {n.lower()} >= 0.1 THEN {n.lower()} * {w} ELSE 0.0 END" for n, w in catalog.WEIGHTS.items())
+    return f"""
+sf AS (SELECT x.id, {', '.join(f'({e})::FLOAT::DOUBLE AS {n}' for n, e in parts.items())} FROM x JOIN ch USING (id)),
+sc AS (SELECT id, 1 / (1 + exp(-(({total}) * 2 - 2))) AS score FROM sf)"""
+
+
+def scored_sql(gate: bool, lex: str, threshold: float = 0.8) -> str:
+    """CTEs up to z(id, layer, threat, confidence, executed): the cascade with scoring."""
+    return f"""{cascade_sql(gate)}, {chars_sql()}, {lex}, {score_sql()},
+y AS (SELECT v.*, score AS mc, layer = 'Aggregated' AND (pc + hc) / 2 >= {threshold!r} * 0.5::DOUBLE AS ran FROM v JOIN sc USING (id)),
+z AS (SELECT id, CASE WHEN ran AND mc >= {threshold!r} THEN 'MLClassification' ELSE layer END AS layer,
+      CASE WHEN ran THEN mc >= {threshold!r} OR pc * 0.4 / 1.8::DOUBLE + hc * 0.6 / 1.8::DOUBLE + mc * 0.8 / 1.8::DOUBLE >= 0.75 ELSE threat END AS threat,
+      CASE WHEN ran AND mc >= {threshold!r} THEN mc WHEN ran THEN pc * 0.4 / 1.8::DOUBLE + hc * 0.6 / 1.8::DOUBLE + mc * 0.8 / 1.8::DOUBLE ELSE confidence END AS confidence,
+      CASE WHEN layer = 'Validation' THEN '' ELSE concat_ws(',', {"'LanguageFilter'" if gate else "NULL"}, CASE WHEN layer <> 'LanguageFilter' THEN 'PatternMatching' END, CASE WHEN layer IN ('Heuristics', 'Aggregated') THEN 'Heuristics' END, CASE WHEN ran THEN 'MLClassification' END) END AS executed FROM y)"""
+
+
 def _select(parts: dict[str, str], source: str) -> str:
     return f"SELECT id, {', '.join(f'round({e}, 6) AS {n}' for n, e in parts.items())} FROM {source}"
 
@@ -554,6 +638,12 @@ def oracle_sql() -> dict[str, str]:
         "sem_request": f"WITH {P_SQL} SELECT id, 'gpt-4' AS model, {len('Analyze this user input for prompt injection:') + 2} + CASE WHEN length(t) > 8000 THEN 8015 ELSE length(t) END AS chars, '500' AS max_tokens FROM p",
         "sem_answer": f"WITH {P_SQL}, a AS (SELECT id, id % 9 = 0 AS bad, least((id % 13) / 8, 1.0) AS c FROM p) SELECT id, CASE WHEN bad THEN 'error' ELSE 'success' END AS status, round(CASE WHEN bad THEN 0.0 ELSE c END, 6)::DOUBLE AS confidence, NOT bad AND (id % 5 = 0 OR c >= 0.7) AS is_threat FROM a",
     }
+    sql["feat_compression"] = f"WITH {P_SQL}, {chars_sql()} SELECT id, round(compression, 6) AS compression, depth FROM ch"
+    sql["ml_confidence"] = f"WITH {P_SQL}, {chars_sql()}, {lex}, {score_sql()} SELECT id, round(score, 5) AS score FROM sc"
+    sql["casc_production"] = f"WITH {scored_sql(True, lex)} SELECT id, layer AS decision_layer, threat AS is_threat, round(confidence, 6)::DOUBLE AS confidence, executed FROM z"
+    sql["casc_scored"] = f"WITH {scored_sql(False, lex, 0.3)} SELECT id, layer AS decision_layer, threat AS is_threat, round(confidence, 6)::DOUBLE AS confidence, executed FROM z"
+    sql["casc_minimal"] = f"WITH {cascade_sql(True)} SELECT id, layer NOT IN ('Validation', 'LanguageFilter', 'Aggregated') AS patterns, layer = 'Heuristics' AS heuristics FROM v"
+    sql["casc_failures"] = " UNION ALL ".join(f"SELECT * FROM (WITH {cascade_sql(True)}, f AS (SELECT *, layer <> 'Validation' AND length(t) % 7 = 0 AS failed FROM v) SELECT id, '{mode}' AS on_error, CASE WHEN failed THEN '{name}' ELSE layer END AS decision_layer, CASE WHEN layer = 'Validation' THEN 'invalid' WHEN failed THEN '{status}' ELSE 'analyzed' END AS status, CASE WHEN layer = 'Validation' THEN 'block' WHEN failed THEN '{side}' WHEN threat THEN 'block' ELSE 'pass' END AS side FROM f)" for mode, name, status, side in (("FailClosed", "Error", "error", "block"), ("FailOpen", "FailOpen", "fail_open", "pass")))
     rows = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {{'c': -{n}, 'i': {k}, 'n': {q(n) if n != 'suspicious_unicode' else f"CASE {n} WHEN 0.9 THEN 'suspicious_unicode' WHEN 0.8 THEN 'bidirectional_override' ELSE 'invisible_characters' END"}}} END" for k, n in enumerate(SIGNAL_NAMES))
     sql["heu_top"] = f"WITH {P_SQL}, {heuristics_sql()} SELECT id, array_to_string(list_transform(list_sort(list_filter([{rows}], lambda x: x IS NOT NULL))[1:2], lambda x: x.n), ',') AS names FROM heu"
     old = ", ".join(f"({q(p[0])}, {q(p[2])})" for p in catalog.PATTERNS)

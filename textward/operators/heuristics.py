@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textward import catalog
 from textward.config import Config
-from textward.functions.text import any_match, clamp, count_of, let, matches, valid
+from textward.functions.text import any_match, clamp, count_of, fold, found_in, let, valid
 
 SIGNAL = "struct<name:string,contribution:double,description:string>"
 
@@ -37,8 +37,8 @@ def punctuation_signal(text: Column, config: Config) -> Column:
     return _signal("delimiter_injection", (F.length(text) > 0) & (share > limit), F.least(F.lit(1.0), share / (limit * 2)), config)
 
 
-def _compound(text: Column, rows: Sequence[tuple[str, float, str]], name: str, step: float, most: float, config: Config) -> Column:
-    found = F.array_compact(F.array(*[F.when(matches(text, p), F.lit(w)) for p, w, _ in rows]))
+def _compound(text: Column, rows: Sequence[tuple[str, float]], name: str, step: float, most: float, config: Config) -> Column:
+    found = let(fold(text), lambda low: F.array_compact(F.array(*[F.when(found_in(low, text, p), F.lit(w)) for p, w in rows])))
 
     def build(f: Column) -> Column:
         return _signal(name, F.size(f) > 0, F.least(F.lit(1.0), F.array_max(f) + F.least(F.lit(most), F.size(f) * F.lit(step))), config)
@@ -73,7 +73,7 @@ def _pair(name: str, first: Column, second: Column, a: float, b: float, both: fl
 
 
 def structure_signal(text: Column, config: Config) -> Column:
-    return _pair("anomalous_structure", text.rlike(catalog.REPEATED_DELIMITERS), matches(text, catalog.STRUCTURE_MARKERS), 0.65, 0.85, 0.85, config)
+    return _pair("anomalous_structure", text.rlike(catalog.REPEATED_DELIMITERS), found_in(F.lower(text), text, catalog.STRUCTURE_MARKERS), 0.65, 0.85, 0.85, config)
 
 
 def encoding_signal(text: Column, config: Config) -> Column:
@@ -81,7 +81,8 @@ def encoding_signal(text: Column, config: Config) -> Column:
 
 
 def unicode_signal(text: Column, config: Config) -> Column:
-    zero, bidi = text.rlike(f"[{catalog.ZERO_WIDTH}]"), text.rlike(f"[{catalog.BIDI}]")
+    other = F.octet_length(text) != F.length(text)  # ASCII has none
+    zero, bidi = other & text.rlike(f"[{catalog.ZERO_WIDTH}]"), other & text.rlike(f"[{catalog.BIDI}]")
     name = F.when(zero & bidi, "suspicious_unicode").when(bidi, "bidirectional_override").otherwise("invisible_characters")
     out = _signal("suspicious_unicode", zero | bidi, F.when(zero & bidi, 0.9).when(bidi, 0.8).otherwise(0.6), config)
     return F.when(out.isNotNull(), out.withField("name", name)).cast(SIGNAL)

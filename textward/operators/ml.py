@@ -85,9 +85,16 @@ def model_udf(session_of: Callable[[], Callable[[list[list[int]], list[list[int]
         for ids, mask in batches:
             some = [k for k, x in enumerate(ids) if x is not None]
             out: list[float | None] = [None] * len(ids)
-            if some:
-                for k, row in zip(some, run([list(ids[k]) for k in some], [list(mask[k]) for k in some]), strict=True):
+            try:
+                rows = run([list(ids[k]) for k in some], [list(mask[k]) for k in some]) if some else []
+                for k, row in zip(some, rows, strict=True):
                     out[k] = probability(list(row))
+            except Exception:  # noqa: BLE001  the model is the user's; the row that it fails on is found below
+                for k in some:
+                    try:
+                        out[k] = probability(list(run([list(ids[k])], [list(mask[k])])[0]))
+                    except Exception:  # noqa: BLE001
+                        out[k] = None
             yield pd.Series(out, dtype="float64")
 
     return infer

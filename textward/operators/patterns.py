@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from textward import catalog
 from textward.config import Config
 from textward.functions.repetition import COPIES, SHORTEST, repetition
-from textward.functions.text import any_match, let, matches, texts, valid
+from textward.functions.text import any_match, fold, found_in, let, matches, texts, valid
 from textward.shipping import ship
 
-#: id, name, severity, category, regular expression, description
-Pattern = tuple[str, str, str, str, str, str]
+#: id, name, severity, category, regular expression and, if one likes, a description
+Pattern = tuple[str, ...]
 
 
 def active(config: Config, more: Iterable[Pattern] = ()) -> list[Pattern]:
@@ -26,7 +26,7 @@ def active(config: Config, more: Iterable[Pattern] = ()) -> list[Pattern]:
 
 
 def catalog_table(spark: SparkSession, rows: Sequence[Pattern]) -> DataFrame:
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ord int, id string, name string, severity string, category string, pattern string, description string")
+    return spark.createDataFrame([(k, *r[:5], r[5] if len(r) > 5 else None) for k, r in enumerate(rows)], "ord int, id string, name string, severity string, category string, pattern string, description string")
 
 
 def catalog_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -36,10 +36,11 @@ def catalog_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "id", "full_outer").select("id", change.alias("change")).where("change is not null")
 
 
-def hit(text: Column, pattern: Pattern, repeated: Column | None = None) -> Column:
-    """Whether the pattern is found. `repeated` is the column that with_repetition() adds, instead of the one back-reference."""
+def hit(text: Column, pattern: Pattern, repeated: Column | None = None, low: Column | None = None) -> Column:
+    """Whether the pattern is found. `repeated` is the column that with_repetition() adds, instead of the one back-reference;
+    `low` is fold(text), where it is at hand."""
     if pattern[0] != catalog.REPETITION:
-        return matches(text, pattern[4])
+        return matches(text, pattern[4]) if low is None else found_in(low, text, pattern[4])
     if repeated is not None:
         return F.coalesce(repeated, F.lit(False))
     # A block and ten copies take eleven times the block, so a text of n characters holds none longer than n / 11: the group's
@@ -64,7 +65,7 @@ def hits(text: Column, rows: Sequence[Pattern], config: Config, repeated: Column
     level = [min(1.0, catalog.SEVERITY_CONFIDENCE.get(p[2], 0.6) * own.multiplier) for p in rows]
     if not rows:
         return F.array().cast("array<struct<ord:int,id:string,name:string,confidence:double,severity:string,category:string>>")
-    places = F.array_compact(F.array(*[F.when(hit(text, p, repeated), k) for k, p in enumerate(rows)]))
+    places = let(fold(text), lambda low: F.array_compact(F.array(*[F.when(hit(text, p, repeated, low), k) for k, p in enumerate(rows)])))
     ends = [k for k, c in enumerate(level) if c >= own.exit_threshold]
     stops = F.expr(f"array({', '.join(map(str, ends))})") if ends else F.array().cast("array<int>")
     columns = {"id": texts(p[0] for p in rows), "name": texts(p[1] for p in rows), "confidence": F.expr(f"array({', '.join(f'{c!r}D' for c in level)})"), "severity": texts(p[2] for p in rows), "category": texts(p[3] for p in rows)}
@@ -104,5 +105,5 @@ def layer(text: Column, config: Config, rows: Sequence[Pattern] | None = None, r
 def long_form(df: DataFrame, text: str, rows: Sequence[Pattern], config: Config) -> DataFrame:
     """A row for each row and pattern found: the columns of df with ord, id, name, confidence, severity and category. The
     catalogue is part of the projection, so nothing is joined."""
-    every = F.array_compact(F.array(*[F.when(hit(F.col(text), p), F.struct(F.lit(k).alias("ord"), F.lit(p[0]).alias("pattern_id"), F.lit(p[1]).alias("pattern_name"), F.lit(min(1.0, catalog.SEVERITY_CONFIDENCE.get(p[2], 0.6) * config.patterns.multiplier)).alias("pattern_confidence"))) for k, p in enumerate(rows)]))
+    every = let(fold(F.col(text)), lambda low: F.array_compact(F.array(*[F.when(hit(F.col(text), p, None, low), F.struct(F.lit(k).alias("ord"), F.lit(p[0]).alias("pattern_id"), F.lit(p[1]).alias("pattern_name"), F.lit(min(1.0, catalog.SEVERITY_CONFIDENCE.get(p[2], 0.6) * config.patterns.multiplier)).alias("pattern_confidence"))) for k, p in enumerate(rows)])))
     return df.select("*", F.explode(every).alias("h")).select(*df.columns, "h.*")

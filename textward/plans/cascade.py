@@ -19,16 +19,26 @@ ANALYSIS = ["validation", "language", "patterns", "heuristics", "ml", "verdict"]
 
 def analyze(df: DataFrame, text: str = "text", config: Config | None = None, more_patterns: Sequence[patterns.Pattern] = (), analyzers: Sequence[Callable[[Column], Column]] = (), detector: Callable[[Column], Column] | None = None, model: Column | None = None, system_prompt: str | None = None, with_id: bool = False) -> DataFrame:
     """df with the layers' structs and `verdict`. Columns of df with those names are replaced. Invalid texts get a verdict with
-    status invalid, or are let through where errors are to fail open."""
+    status invalid, whatever is to happen on errors. A text for which `detector` gives null has failed: its status is error, or
+    fail_open where errors are to fail open. An analyzer that gives null is left out of the mean, and a model that gives null
+    leaves the features alone to decide. Without config.include_breakdown, rows that no single layer decided have no layers'
+    structs."""
     config = config or Config()
-    taken = set(ANALYSIS) | {"_text", "_open", "_repeated", "_chars", "_facts"}
+    taken = set(ANALYSIS) | {"_text", "_open", "_repeated", "_chars", "_facts", "_found", "_failed"}
     kept = [c for c in df.columns if c not in taken or c == text]
     t = F.col("_text")
     rows = patterns.active(config, more_patterns)
     out = df.select(*kept, F.col(text).alias("_text"), validate.validation(F.col(text), config, F.col(system_prompt) if system_prompt else None).alias("validation"))
-    out = out.withColumn("language", language.gate(t, (detector or language.detect)(t), config))
+    failed = F.lit(False)
+    if detector is not None and config.language.enabled:
+        out = out.withColumn("_found", detector(t))
+        failed = F.col("validation.is_valid") & F.col("_found").isNull()
+        out = out.withColumn("language", language.gate(t, F.coalesce(F.col("_found"), language.detect(F.lit(""))), config))
+    else:
+        out = out.withColumn("language", language.gate(t, language.detect(t), config))
+    out = out.withColumn("_failed", failed)
     # later layers see only the texts that reach them
-    open_gate = F.col("validation.is_valid") & ~F.col("language.blocked")
+    open_gate = F.col("validation.is_valid") & ~F.col("_failed") & ~F.col("language.blocked")
     out = out.withColumn("_open", F.when(open_gate, t))
     repeated = None
     if config.patterns.enabled and any(r[0] == catalog.REPETITION for r in rows):
@@ -46,6 +56,9 @@ def analyze(df: DataFrame, text: str = "text", config: Config | None = None, mor
     else:
         out = out.withColumn("ml", F.lit(None).cast("struct<layer:string,was_executed:boolean,status:string,confidence:double,is_threat:boolean,mode:string,threshold:double,threat_probability:double,safe_probability:double,top_features:array<string>,disabled_features_count:int>"))
     out = out.withColumn("_facts", _facts(config)).withColumn("verdict", verdict(config, with_id))
+    if not config.include_breakdown:
+        told = F.col("verdict.decision_layer") != "Aggregated"
+        return out.select(*kept, "validation", *[F.when(told, F.col(c)).alias(c) for c in ANALYSIS[1:-1]], "verdict")
     return out.select(*kept, *ANALYSIS)
 
 
@@ -56,7 +69,7 @@ def _facts(config: Config) -> Column:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     w = config.aggregation
     base = F.struct(
-        F.col("validation.is_valid").alias("valid"), F.col("language.blocked").alias("blocked"), F.col("language.confidence").alias("lc"), flag("patterns.is_threat").alias("pt"), zero("patterns.confidence").alias("pc"),
+        F.col("validation.is_valid").alias("valid"), F.col("_failed").alias("failed"), F.col("language.blocked").alias("blocked"), F.col("language.confidence").alias("lc"), flag("patterns.is_threat").alias("pt"), zero("patterns.confidence").alias("pc"),
         flag("heuristics.is_threat").alias("ht"), zero("heuristics.confidence").alias("hc"), flag("heuristics.is_definitive").alias("exit2"), flag("heuristics.was_executed").alias("h_ran"),
         flag("ml.is_threat").alias("mt"), zero("ml.confidence").alias("mc"), flag("ml.was_executed").alias("m_ran"),
     )
@@ -66,7 +79,7 @@ def _facts(config: Config) -> Column:
         total = let(weight, lambda n: x["pc"] * w.patterns / n + F.when(x["h_ran"], x["hc"] * w.heuristics / n).otherwise(0.0) + F.when(x["m_ran"], x["mc"] * w.ml / n).otherwise(0.0))
         exit1 = x["pt"] & (x["pc"] >= config.patterns.early_exit)
         exit3 = x["m_ran"] & x["mt"] & (x["mc"] >= config.ml.threshold)
-        layer = F.when(~x["valid"], "Validation").when(x["blocked"], "LanguageFilter").when(exit1, "PatternMatching").when(x["exit2"], "Heuristics").when(exit3, "MLClassification").otherwise("Aggregated")
+        layer = F.when(~x["valid"], "Validation").when(x["failed"], "FailOpen" if config.on_error == OPEN else "Error").when(x["blocked"], "LanguageFilter").when(exit1, "PatternMatching").when(x["exit2"], "Heuristics").when(exit3, "MLClassification").otherwise("Aggregated")
         return F.struct(x.alias("x"), clamp(total).alias("mean"), layer.alias("layer"))
 
     def decide(y: Column) -> Column:
@@ -97,9 +110,10 @@ def verdict(config: Config, with_id: bool = False) -> Column:
         F.coalesce(F.when(by_pattern, F.col("patterns.category")), F.lit(catalog.THREAT_CATEGORY)).alias("owasp_category"), F.when(blocked, "Unsupported Language").otherwise(catalog.THREAT_TYPE).alias("threat_type"), explanation.alias("explanation"),
         F.when(blocked, f"Please submit your request in a supported language ({names}).").otherwise(catalog.USER_MESSAGE).alias("user_facing_message"), F.when(blocked, "Medium").otherwise(severity_of(confidence)).alias("severity"), told.alias("detection_sources"), matched.alias("matched_patterns"),
     )
-    valid, free = ~at("Validation"), ~at("Validation") & ~blocked
+    broken = F.col("_facts.x.failed") & ~at("Validation")
+    valid, free = ~at("Validation") & ~broken, ~at("Validation") & ~broken & ~blocked
     executed = F.array_compact(F.array(F.when(valid & F.col("language.was_executed"), "LanguageFilter"), F.when(free, "PatternMatching"), F.when(free & ~at("PatternMatching"), "Heuristics"), F.when(F.col("_facts.x.m_ran"), "MLClassification")))
-    status = F.when(valid, "analyzed").otherwise("fail_open" if config.on_error == OPEN else "invalid")
+    status = F.when(valid, "analyzed").when(broken, "fail_open" if config.on_error == OPEN else "error").otherwise("invalid")
     some = threat & (~at("Aggregated") | (F.size(sources) > 0))
     fields = [threat.alias("is_threat"), confidence.alias("confidence"), decided.alias("decision_layer"), executed.alias("executed_layers"), F.when(some, info).alias("threat_info"), status.alias("status")]
     if with_id:
@@ -118,8 +132,14 @@ def only(analyzed: DataFrame, condition: Column) -> DataFrame:
     return settled(analyzed).where((F.col("_row") >= 0) & condition).drop("_row")
 
 
-def guard(df: DataFrame, text: str = "text", config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows that pass and those that are blocked, both with their analysis."""
-    found = analyze(df, text, config or Config())
+def sided(df: DataFrame, text: str = "text", config: Config | None = None, **parts) -> DataFrame:
+    """analyze() with `side`: pass or block. Written with partitionBy("side"), both sides come from one run of the cascade."""
     passes = ~F.col("verdict.is_threat") & F.col("verdict.status").isin("analyzed", "fail_open")
-    return only(found, passes), only(found, ~passes)
+    return analyze(df, text, config, **parts).withColumn("side", F.when(passes, "pass").otherwise("block"))
+
+
+def guard(df: DataFrame, text: str = "text", config: Config | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that pass and those that are blocked, both with their analysis. Each is a query that runs the cascade; sided()
+    serves both with one."""
+    found = sided(df, text, config)
+    return only(found, F.col("side") == "pass").drop("side"), only(found, F.col("side") == "block").drop("side")

@@ -22,7 +22,8 @@ def register(spark: SparkSession) -> None:
             import re
 
             rows = [("pattern", p[1], catalog.SEVERITY_CONFIDENCE[p[2]], p[4].replace("(?i)", "")) for p in catalog.PATTERNS if p[0] != catalog.REPETITION]
-            rows += [("directive", d, w, p) for p, w, d in catalog.DIRECTIVES] + [("role", d, w, p) for p, w, d in catalog.ROLES]
+            for kind, table in (("directive", catalog.DIRECTIVES), ("role", catalog.ROLES)):
+                rows += [(kind, f"{kind}-{k + 1}", w, p) for k, (p, w) in enumerate(table)]
             self.rows = [(k, n, w, re.compile(p, _FLAGS)) for k, n, w, p in rows]
             self.repetition = [("pattern", p[1], catalog.SEVERITY_CONFIDENCE[p[2]]) for p in catalog.PATTERNS if p[0] == catalog.REPETITION]
 
