@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes blocks of text in page order, each with its root-to-leaf path of tags. Text length and punctuation are
-aggregated by path; a path's length ratio (characters a block) and punctuation ratio (marks a block) are fused into a score,
-each block's score is smoothed along the page with a Gaussian window, and blocks over a share of the scores' spread are the
-seeds of the content. The innermost container that holds all seed text, or the article around it, gives the result: all its blocks but those in boilerplate elements (navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) and lists of links. Without such a container inside the body, all from the first seed to the last is
-taken, with the heading before it, the blocks on the seeds' paths and those of the container that holds nearly all seed text.
+A page becomes blocks of text in page order, each with its root-to-leaf path of tags; a step carries the element's classes, and
+whether element, role or label name it as boilerplate (navigation, headers, footers, sidebars, notices, adverts, reader comments).
+Text length and punctuation are aggregated by path, into characters and marks a block. Both ratios are smoothed along the
+path: with the mean of those of the steps above it, each taken over all that stands below the step, so that a heading or a
+list in a long text rises with it. Fused, the ratios are the path's score, zero for boilerplate. Paths without a score are
+left out, and blocks on paths over a share of the scores' spread are the seeds of the content. The innermost container that
+holds all seed text, or the article around it, gives the result: all its blocks on paths with a score, but lists of links.
+Without such a container inside the body, all from the first seed to the last is taken, with the heading before it, the blocks
+on the seeds' paths and those of the container that holds nearly all seed text.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line; nothing else is
 dropped or cut. A null html is empty; a page without blocks gives an empty text. Parsing is linear in the page. Rows that
@@ -26,8 +29,10 @@ from .common import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements that hold no text of the page.
+UNSEEN = frozenset("head script style title noscript template iframe object embed svg math canvas audio video select option button input textarea form noframes noembed xmp".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("head script style title noscript template iframe object embed svg math canvas audio video select option button input textarea form nav footer aside menu dialog noframes noembed xmp".split())
+DROPPED = UNSEEN | frozenset("nav footer aside menu dialog".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option select".split())
 CONTAINERS = frozenset("body main article section div td center blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,9 +57,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>?", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-#: Width of the smoothing window, share of the deviation over which a block is a seed, share of seed text in a container.
-SIGMA, SHARE, HELD, LINKS = 1.0, 0.5, 0.9, 0.6
+#: What a character within a link counts, share of the deviation over which a block is a seed, share of seed text in a container,
+#: share of linked text from which a block is a link.
+LINKED, SHARE, HELD, LINKS = 0.02, 0.5, 0.9, 0.6
 
 
 class _Page:
@@ -64,6 +71,7 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.why, self.path = [""], [-1], [0], [0]
         self.paths: dict[tuple[int, str], int] = {}
+        self.above, self.ends = [-1], [""]  # each path's parent and last tag
         self.block = [0]  # the nearest block-level element
         self.ids: dict[int, set[str]] = {}  # words of the ids that are labels, by element
         self.count: dict[str, int] = {}  # of open elements by tag
@@ -104,7 +112,7 @@ class _Page:
         if not why and tag == "header":
             why = 3  # headings of an article stay
         up = self.path[parent]
-        self.path.append(self.paths.setdefault((up, tag), len(self.paths) + 1) if tag in BLOCKS else up)
+        self.path.append(self._path(up, tag, attributes) if tag in BLOCKS else up)
         self.block.append(len(self.tag) if tag in BLOCKS else self.block[parent])
         self.tag.append(tag)
         self.parent.append(parent)
@@ -114,6 +122,15 @@ class _Page:
             self.count[tag] = self.count.get(tag, 0) + 1
             self.in_link += tag == "a"
 
+    def _path(self, up: int, tag: str, attributes: str) -> int:
+        names = CLASS.search(attributes) if attributes else None
+        step = (up, f"{tag}.{names[1] or names[2] or names[3]}" if names else tag)
+        if step not in self.paths:
+            self.paths[step] = len(self.above)
+            self.above.append(up)
+            self.ends.append(tag)
+        return self.paths[step]
+
     def _label(self, tag: str, attributes: str) -> int:
         found = 0
         for m in ATTRIBUTE.finditer(attributes):
@@ -254,23 +271,44 @@ def _menus(page: _Page, blocks: list[tuple[int, str, int]], seeds: np.ndarray, i
     return out
 
 
+def path_scores(page: _Page, blocks: list[tuple[int, str, int]], boilerplate: np.ndarray) -> np.ndarray:
+    """Each block's path's score."""
+    n = len(page.above)
+    of = np.array([page.path[at] for at, _, _ in blocks])
+    plain = ~boilerplate
+    weights = np.array([len(t) - (1 - LINKED) * linked for _, t, linked in blocks])
+    marks = np.array([len(PUNCTUATION.findall(t)) * (linked < LINKS * len(t)) for _, t, linked in blocks], float)
+    own = np.stack([np.bincount(of[plain], weights=x[plain], minlength=n) for x in (np.ones(len(blocks)), weights, marks)])
+    below = own.copy()
+    for k in range(n - 1, 0, -1):  # a path follows its parent
+        below[:, page.above[k]] += below[:, k]
+    steps = below[1:] / np.maximum(below[0], 1)
+    total, count = np.zeros((2, n)), np.zeros(n)
+    for k in range(1, n):
+        counts = page.ends[k] not in ("html", "body")
+        total[:, k] = total[:, page.above[k]] + steps[:, k] * counts
+        count[k] = count[page.above[k]] + counts
+    ratios = own[1:] / np.maximum(own[0], 1)
+    length, punctuation = np.where(count > 0, (ratios + total / np.maximum(count, 1)) / 2, ratios)
+    return np.where(plain, (length * (1 + punctuation))[of], 0.0)
+
+
 def extract(source: str | None) -> str:
     """Main text of one page."""
     page = _Page(source or "")
-    dropped = _dropped(page)
-    blocks = [b for b, d in zip(page.blocks, dropped, strict=True) if not d]
+    markup = [t in UNSEEN for t in page.tag]
+    for k in range(1, len(markup)):
+        markup[k] |= markup[page.parent[k]]
+    text = [k for k, (at, _, _) in enumerate(page.blocks) if not markup[at]]
+    if not text:
+        return ""
+    scores = path_scores(page, [page.blocks[k] for k in text], _dropped(page)[text])
+    blocks = [page.blocks[k] for k, s in zip(text, scores, strict=True) if s > 0]
     if not blocks:
         return ""
+    scores = scores[scores > 0]
     lengths = np.array([len(t) - linked for _, t, linked in blocks], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) * (linked < LINKS * len(t)) for _, t, linked in blocks], float)
-    paths, of = np.unique([page.path[at] for at, _, _ in blocks], return_inverse=True)
-    n = np.bincount(of)
-    ratio = np.bincount(of, weights=lengths) / n
-    punctuation = np.bincount(of, weights=marks) / n
-    scores = (ratio * (1 + punctuation))[of]
-    if len(scores) > 2:
-        window = np.exp(-0.5 * (np.arange(-2, 3) / SIGMA) ** 2)
-        scores = (scores + np.convolve(scores, window / window.sum(), "same")[: len(scores)] if len(scores) >= 5 else scores * 2) / 2
+    of = np.array([page.path[at] for at, _, _ in blocks])
     seeds = scores >= min(SHARE * scores.std(), scores.max()) if scores.std() > 0 else np.ones(len(scores), bool)
     weights = np.where(seeds, lengths, 0.0)
     held: dict[int, float] = {}
