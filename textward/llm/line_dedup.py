@@ -5,8 +5,8 @@ points are left alone. Keys are 128 bits of xxhash64 with two seeds. A key in at
 everywhere but in the largest doc_id that holds it.
 
 Two passes over the lines: each document gives every key once, counted with partial aggregation before the shuffle; then the
-positions of all lines join the frequent keys, a join that adaptive execution splits where a key is hot. No group's rows are
-gathered: a document's dropped positions are the longest list. Only DataFrame functions are used.
+positions of all lines join the frequent keys. Keys with a share of 1 / HOT or more of all frequent keys' documents, HOT keys at
+most, are told to all tasks, which deal their lines over SALTS joins each. No group's rows are gathered: a document's dropped positions are the longest list. Only DataFrame functions are used.
 
 A null or empty text is one empty line. Each row is a document; rows that repeat a doc_id count each, and all rows with the
 largest doc_id keep their lines. A null doc_id is smaller than any other. Other columns are kept as they are; an empty table
@@ -18,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower
+from .common import SPACE_CHARS, ascii_lower, saved
 
+#: Keys that count as hot at most, and the parts that the lines of a hot key are dealt in.
+HOT, SALTS = 1_000, 32
 NEWLINE = "\n"
 
 
@@ -39,11 +41,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     lines = F.split("text", NEWLINE)
     long = F.filter(F.transform(lines, _bare), lambda x: F.length(x) >= min_chars)
     keys = rows.select("id", F.explode(F.array_distinct(F.transform(long, _key))).alias("k"))
-    frequent = keys.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("a", "b", "last")
+    frequent = keys.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
+    frequent = saved(frequent.select("a", "b", "n", "last"), "lines")
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(frequent.where(F.col("n") * HOT >= total).select(F.col("a").alias("hot_a"), F.col("b").alias("hot_b")))
+    salts = F.sequence(F.lit(0), F.when(F.col("n") * HOT >= total, SALTS - 1).otherwise(0))
+    frequent = frequent.select("a", "b", "last", F.explode(salts).alias("salt"))
     each = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("pos", "line"))
     each = each.withColumn("line", _bare(F.col("line"))).where(F.length("line") >= min_chars)
     each = each.select("id", "text_hash", "pos", _key(F.col("line")).alias("k")).select("id", "text_hash", "pos", "k.a", "k.b")
-    hits = each.join(frequent, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    salt = F.when(F.col("hot_a").isNotNull(), F.pmod(F.xxhash64("id", "text_hash", "pos"), F.lit(SALTS))).otherwise(0).cast("int")
+    each = each.join(hot, (F.col("a") == F.col("hot_a")) & (F.col("b") == F.col("hot_b")), "left").withColumn("salt", salt)
+    hits = each.join(frequent, ["a", "b", "salt"]).where(~F.col("id").eqNullSafe(F.col("last")))
     return hits.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
