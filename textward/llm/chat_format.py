@@ -5,8 +5,9 @@ becomes `<\\|`, so that no control string can arise from a text; in roles a newl
 give offsets by a cumulative sum, and headers, contents and trailers are copied into one preallocated Arrow buffer. The loss
 mask is a list of byte spans over the contents of assistant turns.
 
-Turns are sorted within partitions by (conv_id, turn, role, text) and streamed, so that a conversation is never held as a
-whole: its output is a row for each stretch of at most STRETCH turns. A null text or role is empty, a null conv_id is a
+Turns are dealt by ranges of (conv_id, turn, role, text), so that a long conversation is split, sorted and streamed: the output is
+a row for each stretch of at most STRETCH turns, numbered in order. Reading back hashes each conversation's turns one after
+another, as the digest asks, in one task that holds a stretch at a time. A null text or role is empty, a null conv_id is a
 conversation of its own, rows that repeat a turn are turns each, and an empty table gives no rows. Other columns are unused.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     ship(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = TaskContext.get().partitionId() << 32  # a conversation's later ranges are later stretches
         last, stretch, turn = object(), 0, 0  # of the conversation that the last batch ended in
         for batch in batches:
             for base in range(0, len(batch), 4096):
@@ -79,8 +82,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 rows: list[tuple[int | None, int, int, int]] = []  # conv_id, stretch, first turn, last turn + 1
                 for k, c in enumerate(ids):
                     if c != last:
-                        last, stretch, turn = c, 0, 0
-                        rows.append((c, 0, k, k))
+                        last, stretch, turn = c, begun, 0
+                        rows.append((c, begun, k, k))
                     elif turn % STRETCH == 0 or not rows:
                         stretch += 1
                         turn = 0
@@ -94,7 +97,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), text, pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["conv_id", "stretch", "formatted", "spans"])
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    order = ["conv_id", "turn", "role", "text"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FORMATTED)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(TRAILER), re.DOTALL)
