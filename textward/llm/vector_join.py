@@ -116,13 +116,11 @@ def linked(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = rows.select("vec_id", "e", F.when(F.col("e").isNotNull(), F.xxhash64("e")).alias("a"), F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(1), "e")).alias("b"))
     distinct = rows.where(F.col("e").isNotNull()).groupBy("a", "b").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("e").alias("e"))
     distinct = saved(distinct.withColumn("dim", F.size("e")), "vectors")
-    dims = [r["dim"] for r in distinct.select("dim").distinct().collect()]
-    found = None
-    for dim in dims:
-        part = _one_dimension(distinct.where(F.col("dim") == dim), dim, threshold, radius)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "id long, links long, root long")
+    # lengths with more vectors than a block have pivots each; the vectors of any other length are one block
+    large = [r["dim"] for r in distinct.groupBy("dim").count().where(F.col("count") > BLOCK).select("dim").collect()]
+    found = _small_dimensions(distinct.where(~F.col("dim").isin(large)) if large else distinct, threshold)
+    for dim in large:
+        found = found.unionByName(_one_dimension(distinct.where(F.col("dim") == dim), dim, threshold, radius))
     found = saved(found, "close")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
@@ -133,6 +131,19 @@ def linked(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _small_dimensions(distinct: DataFrame, threshold: float) -> DataFrame:
+    """The join within each vector length, of at most BLOCK vectors."""
+
+    def join(table: pa.Table) -> pa.Table:
+        e = table["e"].combine_chunks()
+        flat = e.flatten().to_numpy().reshape(len(e), -1)
+        block = {"ids": table["id"].to_numpy(), "mult": table["mult"].to_numpy(), "home": np.ones(len(e), bool), "unit": flat / np.linalg.norm(flat, axis=1, keepdims=True)}
+        ids, links, root = _join_blocks(block, None, threshold)
+        return pa.table({"id": ids, "links": links, "root": root})
+
+    return distinct.select("dim", "id", "mult", "e").groupBy("dim").applyInArrow(join, "id long, links long, root long")
+
+
 def _one_dimension(distinct: DataFrame, dim: int, threshold: float, radius: float) -> DataFrame:
     n = distinct.count()
     some = distinct.select("e", F.xxhash64(F.lit("pivot"), "a").alias("o")).orderBy("o").limit(SAMPLE).collect()  # a bounded sample
