@@ -34,7 +34,7 @@ UNSEEN = frozenset("head script style title noscript template iframe object embe
 #: Elements that never hold main text.
 DROPPED = UNSEEN | frozenset("nav footer aside menu dialog".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option select".split())
-CONTAINERS = frozenset("body main article section div td center blockquote".split())
+CONTAINERS = frozenset("body main article section div td center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends where one of the second opens.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
