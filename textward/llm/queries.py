@@ -77,6 +77,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import report
+
+    return report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
@@ -89,6 +107,9 @@ def queries() -> dict:
         "op7_line_dedup": op7_line_dedup,
         "op9_shingle_join": op9_shingle_join,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_turn_repair": op11_turn_repair,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_sharding": op13_sharding,
     }
 
 
