@@ -35,6 +35,9 @@ class Patterns:
     disabled: tuple[str, ...] = ()
     allowed: tuple[str, ...] = ()
     sensitivity: str = MEDIUM
+    #: Confidence of a pattern that is given up, and the steps after which it is, by functions/regexes.py's estimate.
+    timeout: float = 0.3
+    step_budget: float = 1e9
 
     @property
     def multiplier(self) -> float:
@@ -47,7 +50,8 @@ class Patterns:
 
     @property
     def timeout_contribution(self) -> float:
-        return by_level(self.sensitivity, 0.7, 1.0, 1.3, 1.6)
+        t = self.timeout
+        return by_level(self.sensitivity, t * 0.7, t, min(1.0, t * 1.3), min(1.0, t * 1.6))
 
 
 @dataclass(frozen=True)

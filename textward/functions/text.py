@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from re import _constants as codes
-from re import _parser as parser
 
 from pyspark import SparkContext
-from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException, PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from textward.functions.regexes import literals, over_budget
+
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with value in the plan, and computed, once, though f names it many times."""
@@ -32,39 +32,6 @@ def fold(text: Column) -> Column:
     return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, _ODD, _PLAIN)))
 
 
-def literals(pattern: str) -> list[str]:
-    """Lower-case texts of ASCII one of which every match of the regular expression holds; none if that can't be told."""
-
-    def best(options: list[set[str]]) -> set[str]:
-        return max((o for o in options if o), key=lambda o: (min(map(len, o)), -len(o)), default=set())
-
-    def of(sequence) -> set[str]:
-        options, run = [], ""
-        for op, value in [*sequence, (None, None)]:
-            if op is codes.LITERAL and value < 128:
-                run += chr(value).lower()
-                continue
-            options.append({run} if run else set())
-            run = ""
-            if op is codes.BRANCH:
-                parts = [of(part) for part in value[1]]
-                options.append(set().union(*parts) if all(parts) else set())
-            elif op is codes.SUBPATTERN:
-                options.append(of(value[3]))
-            elif op in (codes.MAX_REPEAT, codes.MIN_REPEAT) and value[0] >= 1:
-                inner = of(value[2])
-                one = len(value[2]) == 1 and value[2][0][0] is codes.LITERAL
-                options.append({x * value[0] for x in inner} if one else inner)
-        return best(options)
-
-    if "\\0" in pattern:
-        return []  # octal numbers, which the two engines read differently
-    try:
-        return sorted(of(parser.parse(pattern.replace("(?i)", ""))))
-    except (re.error, OverflowError):
-        return []
-
-
 def found_in(low: Column, text: Column, pattern: str) -> Column:
     """matches(text, pattern), where low is fold(text): texts without any of the pattern's literals are settled by plain search,
     which costs a small part of the regular expression's time."""
@@ -72,10 +39,13 @@ def found_in(low: Column, text: Column, pattern: str) -> Column:
     return contains_any(low, some) & matches(text, pattern) if some and min(map(len, some)) >= 2 else matches(text, pattern)
 
 
-def any_match(text: Column, patterns: Iterable[str]) -> Column:
+def any_match(text: Column, patterns: Iterable[str], budget: float | None = None, length: int = 0) -> Column:
+    """Whether one of the expressions is found; those that may take more than `budget` steps on a text, of up to `length` characters,
+    are not found in it."""
     found = F.lit(False)
     for p in valid(patterns):
-        found = found | matches(text, p)
+        over = over_budget(fold(text), text, p, budget, length) if budget is not None else None
+        found = found | (matches(text, p) if over is None else F.when(~over, matches(text, p)).otherwise(False))
     return found
 
 
@@ -86,11 +56,18 @@ def valid(patterns: Iterable[str]) -> list[str]:
 
 def _compiles(pattern: str) -> bool:
     context = SparkContext._active_spark_context
-    if context is None:
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile("(?iud)" + pattern)
+        except IllegalArgumentException:  # what a PatternSyntaxException is in Python
+            return False
+        return True
+    session = SparkSession.getActiveSession()  # of a remote session
+    if session is None:
         raise RuntimeError("patterns are checked by the session's own regex engine; start a session first")
     try:
-        context._jvm.java.util.regex.Pattern.compile("(?iud)" + pattern)
-    except IllegalArgumentException:  # what a PatternSyntaxException is in Python
+        session.range(1).select(matches(F.concat(F.col("id").cast("string"), F.lit("")), pattern)).collect()
+    except PySparkException:
         return False
     return True
 

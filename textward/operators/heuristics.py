@@ -122,9 +122,9 @@ def top(found: Column, k: int = 5) -> Column:
     return F.slice(F.transform(F.sort_array(keyed), lambda x: x["s"]), 1, k)
 
 
-def layer(text: Column, config: Config, analyzers: Sequence[Callable[[Column], Column]] = ()) -> Column:
+def layer(text: Column, config: Config, analyzers: Sequence[Callable[[Column], Column]] = (), timeouts: Column | None = None) -> Column:
     """The layer's struct. Further analyzers map the text to a struct of score and signals; scores are averaged, and an analyzer
-    that gives null counts as failed."""
+    that gives null counts as failed. `timeouts` is how many patterns the pattern layer gave up."""
     own = config.heuristics
     kind = f"struct<layer:string,was_executed:boolean,confidence:double,is_threat:boolean,is_definitive:boolean,early_exit:string,signals:array<{SIGNAL}>,top_signals:array<{SIGNAL}>>"
     if not own.enabled:
@@ -145,4 +145,8 @@ def layer(text: Column, config: Config, analyzers: Sequence[Callable[[Column], C
 
         return let(F.coalesce(mean, F.lit(0.0)), full)
 
-    return let(signals(text, config), build).cast(kind)
+    found = signals(text, config)
+    if timeouts is not None:
+        late = F.array_compact(F.array(timeout_signal(timeouts)))
+        found = F.concat(found, late if not own.allowed else F.when(any_match(text, own.allowed), F.array().cast(f"array<{SIGNAL}>")).otherwise(late))
+    return let(found, build).cast(kind)

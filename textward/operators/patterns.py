@@ -1,4 +1,10 @@
-"""Pattern layer: an ordered catalogue of regular expressions with an early stop."""
+"""Pattern layer: an ordered catalogue of regular expressions with an early stop.
+
+A pattern that may take more than config.patterns.step_budget steps on a text is not tried on it: it is timed out, which counts with a
+confidence of its own and as a signal of the heuristics. The estimate depends on pattern and text alone, so verdicts are the same
+whatever the partitions and the machine. Patterns that no text of config.max_length characters can bring over the budget, as all but
+two of the built-in ones, cost nothing for it.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,8 @@ from pyspark.sql import functions as F
 from textward import catalog
 from textward.config import Config
 from textward.functions.repetition import COPIES, SHORTEST, repetition
-from textward.functions.text import any_match, fold, found_in, let, matches, texts, valid
+from textward.functions.regexes import literals, over_budget
+from textward.functions.text import any_match, contains_any, fold, found_in, let, matches, texts, valid
 from textward.shipping import ship
 
 #: id, name, severity, category, regular expression and, if one likes, a description
@@ -59,51 +66,92 @@ def with_repetition(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, repetition()(F.when(F.length(text) >= SHORTEST * COPIES, F.col(text))))
 
 
-def hits(text: Column, rows: Sequence[Pattern], config: Config, repeated: Column | None = None) -> Column:
-    """Array of the patterns found, up to the first whose adjusted confidence reaches the exit threshold."""
-    own = config.patterns
-    level = [min(1.0, catalog.SEVERITY_CONFIDENCE.get(p[2], 0.6) * own.multiplier) for p in rows]
-    if not rows:
-        return F.array().cast("array<struct<ord:int,id:string,name:string,confidence:double,severity:string,category:string>>")
-    places = let(fold(text), lambda low: F.array_compact(F.array(*[F.when(hit(text, p, repeated, low), k) for k, p in enumerate(rows)])))
-    ends = [k for k, c in enumerate(level) if c >= own.exit_threshold]
+def late(text: Column, pattern: Pattern, config: Config, low: Column) -> Column | None:
+    """Whether the pattern is given up on the text; None if it never is."""
+    if pattern[0] == catalog.REPETITION:
+        return None  # found in n log n steps, or within bounds of its own
+    over = over_budget(low, text, pattern[4], config.patterns.step_budget, config.max_length)
+    some = literals(pattern[4])
+    return contains_any(low, some) & over if over is not None and some else over
+
+
+def places(text: Column, rows: Sequence[Pattern], config: Config, repeated: Column | None = None) -> Column:
+    """Array of the places in the catalogue of the patterns found, up to the first whose adjusted confidence reaches the exit threshold;
+    -1 less the place for those given up."""
+
+    def outcome(k: int, p: Pattern, low: Column) -> Column:
+        over = late(text, p, config, low)
+        found = F.when(hit(text, p, repeated, low), k)
+        return found if over is None else F.when(over, -1 - k).otherwise(found)
+
+    every = let(fold(text), lambda low: F.array_compact(F.array(*[outcome(k, p, low) for k, p in enumerate(rows)])))
+    ends = [k for k, p in enumerate(rows) if _level(p, config) >= config.patterns.exit_threshold]
     stops = F.expr(f"array({', '.join(map(str, ends))})") if ends else F.array().cast("array<int>")
-    columns = {"id": texts(p[0] for p in rows), "name": texts(p[1] for p in rows), "confidence": F.expr(f"array({', '.join(f'{c!r}D' for c in level)})"), "severity": texts(p[2] for p in rows), "category": texts(p[3] for p in rows)}
 
     def cut(e: Column) -> Column:
         last = F.coalesce(F.array_min(F.array_intersect(e, stops)), F.lit(len(rows)))
-        return F.filter(e, lambda x: x <= last)
+        return F.filter(e, lambda x: F.greatest(x, -1 - x) <= last)
 
-    return F.transform(let(places, cut), lambda k: F.struct(k.alias("ord"), *[F.get(values, k).alias(c) for c, values in columns.items()]))
+    return let(every, cut)
+
+
+def _level(pattern: Pattern, config: Config) -> float:
+    return min(1.0, catalog.SEVERITY_CONFIDENCE.get(pattern[2], 0.6) * config.patterns.multiplier)
+
+
+def hits(found: Column, rows: Sequence[Pattern], config: Config) -> Column:
+    """The patterns found among places()."""
+    columns = {"id": texts(p[0] for p in rows), "name": texts(p[1] for p in rows), "confidence": F.expr(f"array({', '.join(f'{_level(p, config)!r}D' for p in rows)})"), "severity": texts(p[2] for p in rows), "category": texts(p[3] for p in rows)}
+    return F.transform(F.filter(found, lambda k: k >= 0), lambda k: F.struct(k.alias("ord"), *[F.get(values, k).alias(c) for c, values in columns.items()]))
 
 
 def layer(text: Column, config: Config, rows: Sequence[Pattern] | None = None, repeated: Column | None = None) -> Column:
     """The layer's struct."""
     own = config.patterns
     rows = active(config) if rows is None else rows
-    kind = "struct<layer:string,was_executed:boolean,status:string,confidence:double,is_threat:boolean,matched:array<string>,matched_ids:array<string>,category:string,severity:string,pattern_count:int,disabled_count:int,sensitivity:string>"
+    kind = "struct<layer:string,was_executed:boolean,status:string,confidence:double,is_threat:boolean,matched:array<string>,matched_ids:array<string>,category:string,severity:string,pattern_count:int,disabled_count:int,sensitivity:string,timed_out:array<string>,timeout_count:int>"
     counts = [F.lit(len(rows)).alias("pattern_count"), F.lit(len(own.disabled)).alias("disabled_count"), F.lit(own.sensitivity).alias("sensitivity")]
     nothing = F.array().cast("array<string>")
+    on_time = [nothing.alias("timed_out"), F.lit(0).alias("timeout_count")]
     if not own.enabled:
-        return F.struct(F.lit("PatternMatching").alias("layer"), F.lit(False).alias("was_executed"), F.lit("disabled").alias("status"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts).cast(kind)
+        return F.struct(F.lit("PatternMatching").alias("layer"), F.lit(False).alias("was_executed"), F.lit("disabled").alias("status"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts, *on_time).cast(kind)
 
-    def build(h: Column) -> Column:
-        # the earliest of the patterns with the largest confidence
-        best = F.array_max(F.transform(h, lambda x: F.struct(x["confidence"].alias("c"), (-x["ord"]).alias("o"), x["category"].alias("category"), x["severity"].alias("severity"))))
+    if not rows:
+        return F.struct(F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("analyzed").alias("status"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts, *on_time).cast(kind)
+    names = texts(p[1] for p in rows)
+
+    def build(x: Column) -> Column:
+        h, lost = x["h"], x["lost"]
+        first_lost = F.coalesce(-F.array_max(lost) - 1, F.lit(len(rows)))
+        # the earliest of the patterns with the largest confidence; one that comes after a lost pattern has to exceed its confidence
+        told = F.filter(h, lambda y: (y["ord"] < first_lost) | (y["confidence"] > own.timeout_contribution))
+        key = lambda y: F.struct(y["confidence"].alias("c"), (-y["ord"]).alias("o"), y["category"].alias("category"), y["severity"].alias("severity"))
+        best = F.struct(F.array_max(F.transform(h, key)).alias("any"), F.array_max(F.transform(told, key)).alias("told"))
         return let(best, lambda best: F.struct(
-            F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("analyzed").alias("status"), F.coalesce(best["c"], F.lit(0.0)).alias("confidence"), (F.size(h) > 0).alias("is_threat"),
-            F.transform(h, lambda x: x["name"]).alias("matched"), F.transform(h, lambda x: x["id"]).alias("matched_ids"), best["category"].alias("category"), best["severity"].alias("severity"), *counts,
+            F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("analyzed").alias("status"),
+            F.greatest(F.coalesce(best["any"]["c"], F.lit(0.0)), F.when(F.size(lost) > 0, own.timeout_contribution).otherwise(0.0)).alias("confidence"), (F.size(h) > 0).alias("is_threat"),
+            F.transform(h, lambda y: y["name"]).alias("matched"), F.transform(h, lambda y: y["id"]).alias("matched_ids"),
+            F.coalesce(best["told"]["category"], F.when(F.size(h) > 0, catalog.THREAT_CATEGORY)).alias("category"), F.coalesce(best["told"]["severity"], F.when(F.size(h) > 0, "Low")).alias("severity"), *counts,
+            F.transform(F.reverse(lost), lambda k: F.get(names, -1 - k)).alias("timed_out"), F.size(lost).alias("timeout_count"),
         ))
 
-    out = let(hits(text, rows, config, repeated), build).cast(kind)
+    # -1 less the place: the earliest is the largest
+    out = let(places(text, rows, config, repeated), lambda e: let(F.struct(hits(e, rows, config).alias("h"), F.sort_array(F.filter(e, lambda k: k < 0)).alias("lost")), build)).cast(kind)
     if not own.allowed:
         return out
-    free = F.struct(F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("allowlisted").alias("status"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts).cast(kind)
+    free = F.struct(F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("allowlisted").alias("status"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts, *on_time).cast(kind)
     return F.when(any_match(text, own.allowed), free).otherwise(out)
 
 
 def long_form(df: DataFrame, text: str, rows: Sequence[Pattern], config: Config) -> DataFrame:
     """A row for each row and pattern found: the columns of df with ord, id, name, confidence, severity and category. The
     catalogue is part of the projection, so nothing is joined."""
-    every = let(fold(F.col(text)), lambda low: F.array_compact(F.array(*[F.when(hit(F.col(text), p, None, low), F.struct(F.lit(k).alias("ord"), F.lit(p[0]).alias("pattern_id"), F.lit(p[1]).alias("pattern_name"), F.lit(min(1.0, catalog.SEVERITY_CONFIDENCE.get(p[2], 0.6) * config.patterns.multiplier)).alias("pattern_confidence"))) for k, p in enumerate(rows)])))
+    t = F.col(text)
+
+    def row(k: int, p: Pattern, low: Column) -> Column:
+        over = late(t, p, config, low)
+        found = hit(t, p, None, low) if over is None else F.when(~over, hit(t, p, None, low)).otherwise(False)
+        return F.when(found, F.struct(F.lit(k).alias("ord"), F.lit(p[0]).alias("pattern_id"), F.lit(p[1]).alias("pattern_name"), F.lit(_level(p, config)).alias("pattern_confidence")))
+
+    every = let(fold(t), lambda low: F.array_compact(F.array(*[row(k, p, low) for k, p in enumerate(rows)])))
     return df.select("*", F.explode(every).alias("h")).select(*df.columns, "h.*")

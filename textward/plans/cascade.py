@@ -45,7 +45,7 @@ def analyze(df: DataFrame, text: str = "text", config: Config | None = None, mor
         out, repeated = patterns.with_repetition(out, "_open", "_repeated"), F.col("_repeated")
     out = out.withColumn("patterns", F.when(open_gate, patterns.layer(F.col("_open"), config, rows, repeated)))
     exit1 = F.coalesce(F.col("patterns.is_threat") & (F.col("patterns.confidence") >= config.patterns.early_exit), F.lit(False))
-    out = out.withColumn("heuristics", F.when(open_gate & ~exit1, heuristics.layer(t, config, analyzers)))
+    out = out.withColumn("heuristics", F.when(open_gate & ~exit1, heuristics.layer(t, config, analyzers, F.col("patterns.timeout_count"))))
     p, h = F.coalesce("patterns.confidence", F.lit(0.0)), F.coalesce("heuristics.confidence", F.lit(0.0))
     exit2 = F.coalesce(F.col("heuristics.is_definitive"), F.lit(False))
     if config.ml.enabled:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textward import catalog
+from textward.config import CLOSED, OPEN
 from textward.functions.text import blank
 
 
@@ -36,12 +37,16 @@ def prompt_of_body(content_type: Column, body: Column, limit: int = catalog.BODY
     return F.when((F.octet_length(body) <= limit) & ~blank(body), F.when(plain, body).otherwise(prompt_of_json(body)))
 
 
-def problem(verdict: Column, analysis_id: Column, status: int = 400, details: bool = False, kind: str = "about:blank#threat-detected") -> Column:
-    """The answer to a blocked request as problem JSON; null for those that pass."""
-    fields = [F.lit(kind).alias("type"), F.lit("Request Blocked").alias("title"), F.lit(status).alias("status"), F.coalesce(verdict["threat_info"]["user_facing_message"], F.lit("Your request was blocked due to security concerns.")).alias("detail"), analysis_id.alias("analysisId")]
+def problem(verdict: Column, analysis_id: Column, status: int = 400, details: bool = False, kind: str = "about:blank#threat-detected", on_error: str = CLOSED) -> Column:
+    """The answer to a request that does not pass, as problem JSON; null for those that pass. `details` adds category and confidence to
+    the answers to threats."""
+    info = verdict["threat_info"]
+    fields = [F.lit(kind).alias("type"), F.lit("Request Blocked").alias("title"), F.lit(status).alias("status"), F.coalesce(info["user_facing_message"], F.lit("Your request was blocked due to security concerns.")).alias("detail"), analysis_id.alias("analysisId")]
     if details:
-        fields += [verdict["threat_info"]["owasp_category"].alias("owaspCategory"), verdict["confidence"].alias("confidence")]
-    return F.when(verdict["is_threat"], F.to_json(F.struct(*fields)))
+        fields += [info["owasp_category"].alias("owaspCategory"), verdict["confidence"].alias("confidence")]
+    failed = [F.lit("about:blank#analysis-failed").alias("type"), F.lit("Security Analysis Failed").alias("title"), F.lit(500).alias("status"), F.lit("Unable to complete security analysis. Request blocked for safety.").alias("detail")]
+    what = action(verdict, on_error)
+    return F.when(what == "error", F.to_json(F.struct(*failed))).when(what == "block", F.to_json(F.struct(*fields)))
 
 
 def blocked_message(verdict: Column, analysis_id: Column) -> Column:
@@ -52,6 +57,7 @@ def blocked_message(verdict: Column, analysis_id: Column) -> Column:
     return F.when(verdict["is_threat"], F.when(info.isNull(), F.format_string("Potential prompt injection detected (AnalysisId: %s, Confidence: %s)", analysis_id, share)).otherwise(full))
 
 
-def action(verdict: Column, status: int = 400) -> Column:
-    """pass, block or error, by verdict and status."""
-    return F.when(verdict["status"] == "invalid", "error").when(verdict["is_threat"], "block").otherwise("pass")
+def action(verdict: Column, on_error: str = CLOSED) -> Column:
+    """pass, block or error. Texts that are invalid or whose analysis failed are errors, and pass where errors are to fail open."""
+    failed = verdict["status"].isin("invalid", "error", "fail_open") | verdict["status"].isNull()
+    return F.when(failed, "pass" if on_error == OPEN else "error").when(verdict["is_threat"], "block").otherwise("pass")

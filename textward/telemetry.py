@@ -9,8 +9,11 @@ from textward.plans.cascade import only
 
 
 def counters(text: Column) -> list[Column]:
-    """Aggregates over analyze()'s output: analyses, threats, errors and the length's mean and largest."""
-    return [F.count(F.lit(1)).alias("analyses"), F.count_if("verdict.is_threat").alias("threats"), F.count_if(F.col("verdict.status") == "invalid").alias("errors"), F.sum(F.length(text)).alias("chars"), F.max(F.length(text)).alias("longest")]
+    """Aggregates over analyze()'s output: analyses begun, threats, analyses that failed, texts that were not valid, and the length's sum and
+    largest among those begun."""
+    status = F.col("verdict.status")
+    n = F.when(status != "invalid", F.length(text))
+    return [F.count_if(status != "invalid").alias("analyses"), F.count_if("verdict.is_threat").alias("threats"), F.count_if(status.isin("error", "fail_open")).alias("errors"), F.count_if(status == "invalid").alias("invalid"), F.sum(n).alias("chars"), F.max(n).alias("longest")]
 
 
 def observed(df: DataFrame, name: str, text: str = "text") -> DataFrame:
@@ -19,7 +22,9 @@ def observed(df: DataFrame, name: str, text: str = "text") -> DataFrame:
 
 
 def lifecycle(df: DataFrame, key: str) -> DataFrame:
-    """key, seq and event: Started, ThreatDetected where a threat has information, Completed."""
+    """key, seq and event of every valid text: Started, ThreatDetected where a threat has information, and Completed, which an analysis
+    that failed never is."""
     v = F.col("verdict")
-    events = F.array_compact(F.array(F.lit("Started"), F.when(v["is_threat"] & v["threat_info"].isNotNull(), "ThreatDetected"), F.lit("Completed")))
+    done = v["status"] == "analyzed"
+    events = F.array_compact(F.array(F.lit("Started"), F.when(done & v["is_threat"] & v["threat_info"].isNotNull(), "ThreatDetected"), F.when(done, "Completed")))
     return only(df, F.col("verdict.status") != "invalid").select(key, F.posexplode(events).alias("seq", "event"))
