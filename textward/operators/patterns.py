@@ -140,7 +140,7 @@ def layer(text: Column, config: Config, rows: Sequence[Pattern] | None = None, r
     if not own.allowed:
         return out
     free = F.struct(F.lit("PatternMatching").alias("layer"), F.lit(True).alias("was_executed"), F.lit("allowlisted").alias("status"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_threat"), nothing.alias("matched"), nothing.alias("matched_ids"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"), *counts, *on_time).cast(kind)
-    return F.when(any_match(text, own.allowed), free).otherwise(out)
+    return F.when(any_match(text, own.allowed, own.step_budget, config.max_length), free).otherwise(out)
 
 
 def long_form(df: DataFrame, text: str, rows: Sequence[Pattern], config: Config) -> DataFrame:
