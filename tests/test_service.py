@@ -140,3 +140,73 @@ def test_a_failed_row_is_an_error_and_never_passes(spark):
         row = v.agg(*telemetry.counters(F.col("text"))).first()
         assert (row["analyses"], row["threats"], row["errors"], row["invalid"]) == (2, 0, 2, 1)
         assert sorted(r["event"] for r in telemetry.lifecycle(v, "id").collect()) == ["Started", "Started"]
+
+
+# ---- catalogues as tables
+
+
+def all_pairs(spark, texts, rows, config=None):
+    """Every text against every pattern, an expression each."""
+    config = config or Config()
+    out = set()
+    low = fold(F.col("text"))
+    rows = [r for r in rows if r[1] is not None and valid([r[1]])]
+    for base in range(0, len(rows), 30):
+        part = rows[base : base + 30]
+        got = texts.select("id", *[F.coalesce(matches(F.col("text"), p), F.lit(False)).alias(f"c{k}") for k, (_, p) in enumerate(part)]).collect()
+        out |= {(r["id"], part[k][0]) for r in got for k in range(len(part)) if r[f"c{k}"]}
+    return out
+
+
+def test_catalogue_finds_what_all_pairs_find(spark):
+    from textward.operators import catalogue
+
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "to", "su") for c in ("n", "x", "")]
+    rows = [(f"p{k}", rng.choice([r"\b{0}\s+{1}\b", "{0}|{1}", "(?:{0}){{2}}", "{0}.{{0,5}}{1}", "[kl]{0}"]).format(*rng.sample(words, 2))) for k in range(300)]
+    rows += [("dense", r"\d\d$"), ("dense2", "a?b"), ("two", "ka"), ("null", None), ("broken", "("), ("class", "[a-z&&[^k]]aran"), ("p0", "karan"), ("empty", "")]
+    texts = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(rng.randrange(12))) + rng.choice(["", " 12", "B"])) for k in range(150)] + [(900, None), (901, ""), (902, "KARAN ſ \n karan")], "id long, text string")
+    table = spark.createDataFrame(rows, "id string, pattern string")
+    want = all_pairs(spark, texts, rows)
+    assert len(want) > 300
+    for most in (catalogue.BROADCAST, 0):
+        got = catalogue.hits(texts.repartition(3), "id", "text", table, broadcast=most)
+        assert "CartesianProduct" not in plan_of(got) and "NestedLoop" not in plan_of(got)
+        assert {(r["id"], r["pattern_id"]) for r in got.collect()} == want
+    assert catalogue.hits(texts.limit(0), "id", "text", table).count() == 0
+    assert catalogue.hits(texts, "id", "text", table.limit(0)).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalogue_gives_patterns_up_as_the_layer_does(spark):
+    from textward.operators import catalogue
+
+    table = spark.createDataFrame([("slow", r"(z+)+!foo"), ("gap", r"from\s*,?\s*here")], "id string, pattern string")
+    texts = frame(spark, ["z" * 40 + "!foo", "zz!foo", "from" + " " * 60_000 + "here", "from  , here", "from here"])
+    got = {(r["id"], r["pattern_id"]): r["outcome"] for r in catalogue.hits(texts, "id", "text", table).collect()}
+    assert got == {(0, "slow"): "timed_out", (1, "slow"): "match", (2, "gap"): "timed_out", (3, "gap"): "match", (4, "gap"): "match"}
+
+
+def test_versions_hold_from_their_time_to_the_next(spark):
+    from textward.operators import catalogue
+
+    log = spark.createDataFrame([("a", "foo1", 10, 1), ("a", "foo2", 20, 2), ("a", "foo3", 20, 3), ("a", None, 30, 4), ("a", "foo1", 40, 5), ("b", "bar", None, 6), ("c", None, 5, 7)], "id string, pattern string, at int, seq int")
+    found = {tuple(r) for r in catalogue.intervals(log).collect()}
+    assert found == {("a", "foo1", 10, 20), ("a", "foo3", 20, 30), ("a", "foo1", 40, None), ("b", "bar", None, None)}
+    texts = spark.createDataFrame([(t, "foo1 foo2 foo3 bar", t) for t in (9, 10, 19, 20, 29, 30, 40, 99)] + [(-1, "foo1 bar", None)], "id int, text string, t int")
+    got = {(r["id"], r["pattern_id"]) for r in catalogue.hits(texts, "id", "text", catalogue.intervals(log), at="t").collect()}
+    assert got == {(t, "a") for t in (10, 19, 20, 29, 40, 99)} | {(t, "b") for t in (9, 10, 19, 20, 29, 30, 40, 99)}
+    changes = {(r["id"], r["seq"], r["change"]) for r in catalogue.kinds_of_change(log).collect()}
+    assert changes == {("a", 1, "added"), ("a", 2, "modified"), ("a", 3, "modified"), ("a", 4, "removed"), ("a", 5, "added"), ("b", 6, "added")}
+
+
+def test_a_hundred_thousand_patterns(spark):
+    from textward.operators import catalogue
+
+    table = spark.range(100_000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.concat(F.lit(r"\bword"), F.hex(F.col("id") * 7919), F.lit(r"\s+end\b")).alias("pattern"))
+    texts = spark.range(2_000).select("id", F.concat(F.lit("some word"), F.hex(F.col("id") * 50 * 7919), F.lit("  END of it")).alias("text"))
+    got = catalogue.hits(texts, "id", "text", table).collect()
+    assert {(r["id"], r["pattern_id"]) for r in got} == {(k, f"p{k * 50}") for k in range(2_000)}

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textward import telemetry
-from textward.catalog_queries import LIGHT, P_SQL, _prompts, _r, cascade_sql, q
+from textward.catalog_queries import LIGHT, P_SQL, PLAIN, _prompts, _r, _table, cascade_sql, q
 from textward.config import CLOSED, OPEN, Config, Patterns
-from textward.operators import heuristics, language, patterns
+from textward.operators import catalogue, heuristics, language, patterns
 from textward.plans import cascade
 from textward.sources import requests
 
@@ -79,8 +79,45 @@ SELECT id, concat_ws('|', CASE WHEN hit1 THEN 'Two gaps' END, CASE WHEN hit2 THE
        round(CASE WHEN n > 0 THEN least(1.0, 0.4 + n * 0.1) END, 6)::DOUBLE AS signal FROM x"""
 
 
+#: The first words of each benchmark passage, whatever stands between them, as an expression of a table.
+_PASSAGE = "concat_ws('[^a-z]+', slice(regexp_extract_all(text, '([A-Za-z]+)', 1), 3, 4))"
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([(p[0], p[4]) for p in PLAIN], "id string, pattern string")
+    return _table(spark, d, "benchmark").select(F.concat(F.lit("passage-"), F.col("item_id").cast("string")).alias("id"), F.expr(_PASSAGE).alias("pattern")).union(own)
+
+
+def pat_catalogue(spark, d):
+    """Which documents hold the passages' beginnings or the built-in patterns, with the patterns as a table."""
+    return catalogue.hits(_table(spark, d, "documents"), "doc_id", "text", _passages(spark, d))
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue's history: signups set one of 25 patterns, purchases take one away."""
+    events = _table(spark, d, "events").where(F.col("event_type").isin("signup", "purchase"))
+    number = F.get_json_object("props", "$.k")
+    pattern = F.when(F.col("event_type") == "signup", F.concat(F.lit('"k": '), number, F.lit("[^0-9]")))
+    return events.select(F.concat(F.lit("watch-"), F.pmod("event_id", F.lit(25)).cast("string")).alias("id"), pattern.alias("pattern"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def pat_as_of(spark, d):
+    """Which events hold a pattern that was in the catalogue at their time."""
+    events = _table(spark, d, "events").where(~F.col("event_type").isin("signup", "purchase"))
+    return catalogue.hits(events, "event_id", "props", catalogue.intervals(_changes(spark, d)), at="ts")
+
+
+def cat_history(spark, d):
+    """Changes of the catalogue by day."""
+    found = catalogue.kinds_of_change(_changes(spark, d))
+    return found.groupBy(F.to_date("at").alias("day"), "change").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts)}
+    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history)}
+
+
+_HISTORY = """c AS (SELECT concat('watch-', event_id % 25) AS w, ts, event_id, event_type = 'purchase' AS removed, CASE WHEN event_type = 'signup' THEN concat('"k": ', json_extract_string(props, '$.k'), '[^0-9]') ELSE '' END AS r FROM events WHERE event_type IN ('signup', 'purchase'))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -99,4 +136,9 @@ def oracle_sql() -> dict[str, str]:
         "failed_responses": " UNION ALL ".join(map(response, (CLOSED, OPEN))),
         "failed_counters": f"SELECT * FROM ({counters}) WHERE n > 0 OR what NOT IN ('Started', 'ThreatDetected', 'Completed')",
         "pat_timeouts": _timeouts_sql(),
+        "pat_catalogue": f"""WITH c AS (SELECT concat('passage-', item_id) AS id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[3:6], '[^a-z]+') AS r FROM benchmark UNION ALL SELECT x.i, x.r FROM (SELECT unnest([{', '.join(f"{{i: {q(p[0])}, r: {q(p[4].replace('(?i)', ''))}}}" for p in PLAIN)}]) AS x))
+            SELECT DISTINCT doc_id, id AS pattern_id, 'match' AS outcome FROM documents, c WHERE regexp_matches(text, r, 'i')""",
+        "pat_as_of": f"""WITH {_HISTORY}, t AS (SELECT event_id, ts, props, w FROM events, (SELECT DISTINCT w FROM c) WHERE event_type NOT IN ('signup', 'purchase')), l AS (SELECT w, ts, arg_max(r, event_id) AS r, arg_max(removed, event_id) AS removed FROM c GROUP BY w, ts)
+            SELECT t.event_id, t.w AS pattern_id, 'match' AS outcome FROM t ASOF JOIN l ON t.w = l.w AND t.ts >= l.ts WHERE NOT l.removed AND regexp_matches(props, l.r)""",
+        "cat_history": f"WITH {_HISTORY}, g AS (SELECT *, lag(NOT removed) OVER o AS there, lag(r) OVER o AS was FROM c WINDOW o AS (PARTITION BY w ORDER BY ts, event_id)) SELECT ts::DATE AS day, CASE WHEN removed THEN 'removed' WHEN there IS NOT TRUE THEN 'added' ELSE 'modified' END AS change, count(*) AS n FROM g WHERE removed AND there OR NOT removed AND (there IS NOT TRUE OR was <> r) GROUP BY 1, 2",
     }
