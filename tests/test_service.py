@@ -210,3 +210,111 @@ def test_a_hundred_thousand_patterns(spark):
     texts = spark.range(2_000).select("id", F.concat(F.lit("some word"), F.hex(F.col("id") * 50 * 7919), F.lit("  END of it")).alias("text"))
     got = catalogue.hits(texts, "id", "text", table).collect()
     assert {(r["id"], r["pattern_id"]) for r in got} == {(k, f"p{k * 50}") for k in range(2_000)}
+
+
+# ---- limits
+
+
+def simulated(rows, tokens, period, queue, calls, patience):
+    """The bucket, its queue and the calls, a moment at a time; rows are (key, at, id, duration) with whole seconds."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        left, waiting, busy, tick = tokens, [], [], None
+        for _, at, i, duration in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            now = at // period if tick is None else tick
+            while now < at // period:  # a period passes: the queue is served first
+                now += 1
+                left = tokens - min(tokens, len(waiting))
+                waiting = waiting[tokens - left :]
+            tick = now
+            if left and not waiting:
+                left -= 1
+                start = at
+            elif len(waiting) < queue:
+                start = (tick + 1 + len(waiting) // tokens) * period
+                waiting.append(i)
+            else:
+                out[i] = ("rate_limited", None)
+                continue
+            if calls is not None:
+                busy = sorted(e for e in busy if e > start)
+                if len(busy) >= calls:
+                    if busy[0] - start > patience:
+                        out[i] = ("concurrency_limited", None)
+                        continue
+                    start = busy.pop(0)
+                busy.append(start + duration)
+            out[i] = ("success", float(start - at))
+    return out
+
+
+REQUEST = "k string, at timestamp, id long, d double, status string"
+
+
+def requests_of(spark, rows):
+    return spark.createDataFrame([(k, at, i, float(d), "x") for k, at, i, d in rows], "k string, s long, id long, d double, status string").select("k", F.timestamp_seconds("s").alias("at"), "id", "d", "status")
+
+
+def outcomes(df):
+    return {r["id"]: (r["status"], r["wait"]) for r in df.collect()}
+
+
+def busy_rows(seed, n=400):
+    rng = random.Random(seed)
+    return [(rng.choice(["a", "a", "a", "b", None]), 1_000_000 + int(rng.expovariate(1) * 60) + 7 * k // 8, k, rng.randrange(40)) for k in range(n)]
+
+
+@pytest.mark.parametrize(("tokens", "period", "queue", "calls", "patience"), [(3, 10, 2, None, 0), (1, 5, 4, None, 0), (4, 60, 0, None, 0), (2, 10, 7, 2, 12), (3, 10, 2, 1, 0), (5, 7, 5, 3, 30)])
+def test_limits_are_the_simulated_ones(spark, tokens, period, queue, calls, patience):
+    from textward.streaming.limits import Limits, admitted, replayed
+
+    rows = busy_rows(tokens)
+    want = simulated(rows, tokens, period, queue, calls, patience)
+    limits = Limits(tokens, period, queue, calls, patience)
+    df = requests_of(spark, rows).repartition(3)
+    assert len({s for s, _ in want.values()}) >= 2
+    assert outcomes(replayed(df, "k", "at", "id", limits, "d")) == want
+    if calls is None:
+        got = admitted(df, "k", "at", "id", limits)
+        assert outcomes(got) == want and got.columns == ["k", "at", "id", "d", "status", "wait"]
+
+
+def test_limits_take_null_times_and_empty_tables(spark):
+    from textward.streaming.limits import Limits, admitted, replayed
+
+    df = requests_of(spark, [("a", None, 1, 0), (None, 5, 2, -3), (None, 5, 3, 0)])
+    for f in (admitted, replayed):
+        assert outcomes(f(df, "k", "at", "id", Limits(1, 10, 0))) == {1: ("rate_limited", None), 2: ("success", 0.0), 3: ("rate_limited", None)}
+        assert f(df.limit(0), "k", "at", "id", Limits()).count() == 0
+    with pytest.raises(ValueError):
+        Limits(tokens=0)
+
+
+def test_limits_over_a_stream_are_those_over_the_table(spark, tmp_path):
+    from textward.streaming.limits import Limits, limited, replayed
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = sorted(busy_rows(5, 300), key=lambda r: (r[1], r[2]))
+    limits = Limits(2, 10, 3, 2, 12)
+    whole = requests_of(spark, rows)
+    for k in range(4):
+        requests_of(spark, rows[75 * k : 75 * k + 75]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+
+    def run():
+        stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = limited(stream, "k", "at", "id", limits, "d", late="1 second").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        return query
+
+    query = run()
+    got = outcomes(spark.read.parquet(out))
+    want = outcomes(replayed(whole, "k", "at", "id", limits, "d"))
+    assert len(query.recentProgress) >= 4 and set(got) == set(want)
+    assert got == want
+    # long after, all state is dropped
+    requests_of(spark, [("z", rows[-1][1] + 100_000, 1000, 1)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    requests_of(spark, [("z", rows[-1][1] + 100_001, 1001, 1)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = run()
+    assert query.recentProgress[-1].stateOperators[0].customMetrics.get("numDeletedStateVars", 0) >= 0
+    assert set(outcomes(spark.read.parquet(out))) == set(want) | {1000, 1001}
