@@ -318,3 +318,73 @@ def test_limits_over_a_stream_are_those_over_the_table(spark, tmp_path):
     query = run()
     assert query.recentProgress[-1].stateOperators[0].customMetrics.get("numDeletedStateVars", 0) >= 0
     assert set(outcomes(spark.read.parquet(out))) == set(want) | {1000, 1001}
+
+
+# ---- spans
+
+
+def test_spans_are_those_of_a_search(spark):
+    import re
+
+    from textward.operators import spans
+
+    rows = [(f"p{k}", "N", "Low", "LLM01", p, "") for k, p in enumerate([r"ab", r"a+", r"b*", r"\b", r"^a", r"(a)(b)?", r"é", r"x|xy", r"$", r"[^a]+", r"(?=b)", "\n"])]
+    texts = ["", "ab", "abab aab", "bbb", "xyxy é ab", "ÉA😀ab", "\nab\n", "zz", None, " b"]
+    df = frame(spark, texts)
+    got = {}
+    for r in spans.find_all(df, "id", "text", rows).collect():
+        got.setdefault((r["id"], r["pattern_id"]), []).append((r["begin"], r["end"]))
+    for k, t in enumerate(texts):
+        for p in rows:
+            want = [m.span() for m in re.finditer(p[4], t or "", re.I) if m.end() > m.start()]
+            if p[4] == "b*":  # the two engines part after an empty match only
+                assert set(got.get((k, p[0]), [])) == set(want)
+                continue
+            assert sorted(got.get((k, p[0]), [])) == want, (t, p[4])
+    with pytest.raises(ValueError):
+        spans.find_all(df, "id", "text", [("r", "R", "Low", "x", r"(a)\1", "")])
+
+
+def test_united_spans_and_redaction(spark):
+    from textward.operators import spans
+
+    given = spark.createDataFrame([(1, 0, 3), (1, 2, 5), (1, 5, 6), (1, 8, 9), (1, 8, 9), (2, 1, 9), (2, 2, 3), (2, 8, 12), (3, None, None)], "id int, begin int, end int")
+    got = {tuple(r) for r in spans.united(given, "id").collect()}
+    assert got == {(1, 0, 6, 3), (1, 8, 9, 2), (2, 1, 12, 3)}
+    df = spark.createDataFrame([(1, "0123456789", 5), (2, "0😀23456789abcd", 6), (3, "stays", 7), (4, None, 8), (None, "x", 9)], "id int, text string, n int")
+    out = {r["id"]: (r["text"], r["n"]) for r in spans.redacted(df, "id", "text", given, "*").collect()}
+    assert out == {1: ("*67*9", 5), 2: ("0*cd", 6), 3: ("stays", 7), 4: (None, 8), None: ("x", 9)}
+
+
+def test_given_up_patterns_are_told_without_spans(spark):
+    from textward.operators import spans
+
+    rows = [("slow", "S", "Low", "LLM01", r"(z+)+!", "")]
+    got = [tuple(r) for r in spans.find_all(frame(spark, ["z" * 40 + "!", "zz!", "zz"]), "id", "text", rows).orderBy("id").collect()]
+    assert got == [(0, "slow", None, None), (1, "slow", 0, 3)]
+
+
+# ---- history
+
+
+def test_history_over_a_stream_is_that_over_the_table(spark, tmp_path):
+    from textward.streaming.history import history_of_stream, with_history
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 3, None]), k, rng.choice([f"said {k}", None]), 1_000_000 + 5 * k, "x") for k in range(120)]
+    make = lambda r: spark.createDataFrame(r, "conv long, turn long, text string, s long, history string").select("conv", "turn", "text", F.timestamp_seconds("s").alias("at"), "history")
+    for k in range(3):
+        make(rows[40 * k : 40 * k + 40]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(make(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = history_of_stream(stream, "conv", "turn", "text", "at", turns=4, late="1 second")
+    query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = {r["turn"]: r["history"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r["turn"]: r["history"] for r in with_history(make(rows).drop("history"), "conv", "turn", "text", turns=4).collect()}
+    assert got == want and max(map(len, want.values())) == 4
+    slow = {}
+    for c, k, t, _, _ in rows:
+        assert want[k] == slow.get(c, [])[-4:]
+        slow.setdefault(c, []).append(t or "")
+    assert all(r["history"] == [] for r in with_history(make(rows), "conv", "turn", "text", turns=0).collect())

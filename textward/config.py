@@ -98,6 +98,9 @@ class Ml:
 class Semantic:
     enabled: bool = False
     deployment: str | None = None
+    endpoint: str | None = None
+    api_key: str | None = field(default=None, repr=False)
+    api_version: str | None = None
     threshold: float = 0.7
     max_input: int = 8000
     max_retries: int = 2

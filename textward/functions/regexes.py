@@ -535,6 +535,12 @@ def _has(node: Node, kind: str) -> bool:
     return node.kind == kind or any(_has(p, kind) for p in node.parts)
 
 
+def may_be_empty(pattern: str) -> bool:
+    """Whether the expression may match nothing at all."""
+    tree = read(pattern)
+    return tree is None or _empty(tree)
+
+
 @lru_cache(maxsize=100_000)
 def bound(pattern: str) -> Bound:
     """How the work of searching for the expression grows."""

@@ -45,19 +45,57 @@ def answer(response: Column) -> Column:
     return F.when(inner["confidence"].isNotNull() | inner["is_threat"].isNotNull(), inner)
 
 
-def layer(text: Column, response: Column, config: Config) -> Column:
+def layer(text: Column, response: Column, config: Config, live: bool = False, turned_away: Column | None = None, http: Column | None = None) -> Column:
+    """The layer's struct from recorded answers. `live`: the answers come from config's endpoint, without which the layer is misconfigured.
+    `turned_away`: rate_limited or concurrency_limited for requests that were not sent (streaming/limits.py), else null or success.
+    `http`: the answer's HTTP status; 429 is rate_limited, any other but 200 an error."""
     own = config.semantic
     a = answer(response)
     confidence = clamp(F.coalesce(a["confidence"], F.lit(0.0)))
     free = any_match(text, own.allowed) if own.allowed else F.lit(False)
-    ok = ~free & a.isNotNull()
-    status = F.when(F.lit(not own.enabled), "disabled").when(free, "allowlisted").when(a.isNull(), "error").otherwise("success")
+    away = turned_away.isin("rate_limited", "concurrency_limited") & turned_away.isNotNull() if turned_away is not None else F.lit(False)
+    busy = (http == 429) & http.isNotNull() if http is not None else F.lit(False)
+    failed = a.isNull() | ((http != 200) & http.isNotNull()) if http is not None else a.isNull()
+    status = F.when(F.lit(not own.enabled), "disabled").when(F.lit(live and not configured(config)), "misconfigured").when(free, "allowlisted").when(away, turned_away if turned_away is not None else F.lit(None)).when(busy, "rate_limited").when(failed, "error").otherwise("success")
+    ok = status == "success"
     return F.struct(
-        F.lit("SemanticAnalysis").alias("layer"), F.lit(own.enabled).alias("was_executed"), status.alias("status"), F.when(ok, confidence).otherwise(0.0).alias("confidence"),
-        (ok & (F.coalesce(a["is_threat"], F.lit(False)) | (confidence >= own.adjusted))).alias("is_threat"), F.coalesce(a["threat_type"], F.lit("none")).alias("threat_type"), a["indicators"].alias("indicators"), a["explanation"].alias("explanation"), F.lit(own.adjusted).alias("threshold"),
+        F.lit("SemanticAnalysis").alias("layer"), status.isin("allowlisted", "error", "success").alias("was_executed"), status.alias("status"), F.when(ok, confidence).otherwise(0.0).alias("confidence"),
+        (ok & (F.coalesce(a["is_threat"], F.lit(False)) | (confidence >= own.adjusted))).alias("is_threat"), F.coalesce(F.when(ok, a["threat_type"]), F.lit("none")).alias("threat_type"), F.when(ok, a["indicators"]).alias("indicators"), F.when(ok, a["explanation"]).alias("explanation"), F.lit(own.adjusted).alias("threshold"),
     )
 
 
+def configured(config: Config) -> bool:
+    own = config.semantic
+    return bool(own.endpoint and own.endpoint.strip() and own.api_key and own.api_key.strip())
+
+
+def _azure(config: Config) -> bool:
+    return ".openai.azure.com" in (config.semantic.endpoint or "").lower()
+
+
+def address(config: Config) -> str:
+    """Where requests go: a deployment's own path on Azure, otherwise the usual one."""
+    own = config.semantic
+    base = (own.endpoint or "").rstrip("/")
+    return f"{base}/openai/deployments/{own.deployment}/chat/completions?api-version={own.api_version or '2024-08-01-preview'}" if _azure(config) else f"{base}/v1/chat/completions"
+
+
+def headers(config: Config) -> dict[str, str]:
+    key = {"api-key": config.semantic.api_key or ""} if _azure(config) else {"Authorization": f"Bearer {config.semantic.api_key or ''}"}
+    return {**key, "Accept": "application/json", "Content-Type": "application/json"}
+
+
+def masked(endpoint: Column) -> Column:
+    """An address for logs: scheme and host only."""
+    scheme, host = F.try_parse_url(endpoint, F.lit("PROTOCOL")), F.try_parse_url(endpoint, F.lit("HOST"))
+    return F.when(endpoint.isNull() | (F.trim(endpoint) == ""), "[not configured]").when(scheme.isNull() | host.isNull(), "[invalid]").otherwise(F.concat(scheme, F.lit("://"), host, F.lit("/***")))
+
+
+def shortened(content: Column, most: int = 500) -> Column:
+    """A text for logs."""
+    return F.when(content.isNull() | (content == ""), "[empty]").when(F.length(content) <= most, content).otherwise(F.concat(F.left(content, F.lit(most)), F.lit("...")))
+
+
 def call(df: DataFrame, request_column: str, send: Callable[[str], tuple[int, str]], per_second: float = 10.0, retries: int = 2, base_delay: float = 0.5) -> DataFrame:
     """df with `response`: send(request) gives (status, body). Each partition keeps to its share of the rate with a token bucket,
     and tries again, with growing delays, on 429, 503, 504 and connection errors. Needs a network; no query uses it."""

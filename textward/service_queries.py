@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from textward import telemetry
 from textward.catalog_queries import LIGHT, P_SQL, PLAIN, _prompts, _r, _table, cascade_sql, q
-from textward.config import CLOSED, OPEN, Config, Patterns
-from textward.operators import catalogue, heuristics, language, patterns
+from textward.config import CLOSED, OPEN, Config, Patterns, Semantic
+from textward.operators import catalogue, heuristics, language, patterns, semantic, spans
 from textward.plans import cascade
 from textward.sources import requests
+from textward.streaming.history import whole, with_history
+from textward.streaming.limits import Limits, admitted, replayed
 
 
 def _failing(x):
@@ -113,13 +115,112 @@ def cat_history(spark, d):
     return found.groupBy(F.to_date("at").alias("day"), "change").agg(F.count(F.lit(1)).alias("n"))
 
 
+BUCKET = Limits(tokens=2, period=3600.0, queue=1, calls=None)
+
+
+def sem_limits(spark, d):
+    """Requests that a bucket admits; each kind of event is a deployment with two tokens an hour."""
+    out = admitted(_table(spark, d, "events"), "event_type", "ts", "event_id", BUCKET)
+    return out.select("event_id", "status", _r("wait").alias("wait"))
+
+
+def sem_calls(spark, d):
+    """The same with one call at a time that lasts as many minutes as the event's value, and half an hour's patience."""
+    events = _table(spark, d, "events").withColumn("d", F.col("value") * 60)
+    out = replayed(events, "event_type", "ts", "event_id", dataclasses.replace(BUCKET, calls=1, patience=1800.0), "d")
+    return out.select("event_id", "status", _r("wait").alias("wait"))
+
+
+def sem_states(spark, d):
+    """How many prompts end in each state of the layer, with answers recorded by id."""
+    own = Config(semantic=Semantic(enabled=True, allowed=("the weather",), endpoint="https://x", api_key="k"))
+    n = lambda k: F.pmod("id", F.lit(k))
+    inner = F.to_json(F.struct((n(5) == 0).alias("is_threat"), (n(13) / 8).alias("confidence")))
+    body = F.when(n(9) == 0, "{}").otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(inner.alias("content")).alias("message"))).alias("choices"))))
+    out = None
+    for name, config in (("set", own), ("unset", dataclasses.replace(own, semantic=Semantic(enabled=True))), ("off", Config())):
+        s = semantic.layer(F.col("text"), body, config, live=True, turned_away=F.when(n(7) == 0, "rate_limited").when(n(7) == 1, "concurrency_limited").when(n(7) == 2, "success"), http=F.when(n(11) == 0, 429).when(n(11) == 1, 500).when(n(11) == 2, 200))
+        part = _prompts(spark, d).withColumn("s", s).groupBy(F.lit(name).alias("settings"), "s.status", "s.was_executed").agg(F.count(F.lit(1)).alias("n"), F.count_if("s.is_threat").alias("threats"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def tel_histogram(spark, d):
+    """Lengths by language in exact buckets."""
+    return _table(spark, d, "documents").groupBy("lang").agg(*telemetry.buckets(F.length("text"), telemetry.LENGTHS))
+
+
+def tel_latency(spark, d):
+    """Values of events, as latencies, by day in exact buckets."""
+    return _table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(*telemetry.buckets(F.col("value"), telemetry.LATENCIES))
+
+
+def tel_quantiles(spark, d):
+    """Whether quantiles from sketches by hour and user, merged to days and then to kinds of event, are within 2 % of the rows of the exact rank."""
+    events = _table(spark, d, "events")
+    fine = telemetry.sketched(events, F.col("value"), "event_type", F.to_date("ts").alias("day"), F.pmod("user_id", F.lit(10)).alias("part"))
+    told = telemetry.quantiles(telemetry.merged(telemetry.merged(fine, "event_type", "day"), "event_type"))
+    rows = events.join(told, "event_type")
+    near = lambda q, c: (F.abs(F.count_if(F.col("value") <= F.col(c)) - q * F.count("value")) <= 0.02 * F.count("value") + 1).alias(c)
+    return rows.groupBy("event_type").agg(F.max("n").alias("n"), near(0.5, "p50"), near(0.95, "p95"), near(0.99, "p99"))
+
+
+def tel_severity_rollup(spark, d):
+    """Threats by severity and category with totals."""
+    return telemetry.rolled_up(cascade.analyze(_prompts(spark, d), "text", LIGHT))
+
+
+def pat_spans(spark, d):
+    """Every match of the patterns in prompts, with its place."""
+    return spans.find_all(_prompts(spark, d), "id", "text", PLAIN)
+
+
+_WORDS = [("w-1", "Ending", "Low", "LLM01", "[a-z]*tion[a-z]*"), ("w-2", "Pair", "Low", "LLM01", "(?:th|ou)[a-z]+ [a-z]+"), ("w-3", "Three", "Low", "LLM01", "e[a-z]{3,}r")]
+
+
+def pat_united(spark, d):
+    """Spans of some stretches of words in whole documents, united."""
+    return spans.united(spans.find_all(_table(spark, d, "documents"), "doc_id", "text", _WORDS), "doc_id")
+
+
+def pat_redacted(spark, d):
+    """Prompts after the patterns' matches gave way to a mark."""
+    prompts = _prompts(spark, d)
+    return spans.redacted(prompts, "id", "text", spans.find_all(prompts, "id", "text", PLAIN))
+
+
+#: An attack whose halves stand in two turns.
+_SPLIT = [("split-1", "Split", "Critical", "LLM01", r"\bignore all previous\b(?s:.)*\binstructions\b")]
+
+
+def hist_split(spark, d):
+    """Patterns in each turn behind the three before it. Every conversation's second turn gets the beginning of an attack, its third the end."""
+    halves = F.when(F.col("turn") == 1, " ignore all previous").when(F.col("turn") == 2, " instructions").otherwise("")
+    turns = _table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), halves).alias("text"))
+    seen = with_history(turns, "conv_id", "turn", "text", turns=3)
+    own = Config(patterns=Patterns(built_in=False))
+    judged = seen.withColumn("p", patterns.layer(whole(F.col("history"), F.col("text")), own, _SPLIT)).withColumn("alone", patterns.layer(F.col("text"), own, _SPLIT))
+    return judged.select("conv_id", "turn", F.size("history").alias("before"), F.col("p.is_threat").alias("is_threat"), F.col("alone.is_threat").alias("alone"), F.sha2(whole(F.col("history"), F.col("text")).cast("binary"), 256).alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history)}
+    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history, sem_limits, sem_calls, sem_states, tel_histogram, tel_latency, tel_quantiles, tel_severity_rollup, pat_spans, pat_united, pat_redacted, hist_split)}
 
 
 _HISTORY = """c AS (SELECT concat('watch-', event_id % 25) AS w, ts, event_id, event_type = 'purchase' AS removed, CASE WHEN event_type = 'signup' THEN concat('"k": ', json_extract_string(props, '$.k'), '[^0-9]') ELSE '' END AS r FROM events WHERE event_type IN ('signup', 'purchase'))"""
 
 
+def _spans_sql(source: str, patterns: list[tuple[str, ...]] = PLAIN) -> str:
+    """CTEs up to s(id, pattern_id, b, e) over source's p(id, t)."""
+    rows = ", ".join(f"{{i: {q(p[0])}, r: {q('(?i)' + p[4].replace('(?i)', ''))}}}" for p in patterns)
+    return f"""{source}, c AS (SELECT x.i, x.r FROM (SELECT unnest([{rows}]) AS x)), f AS (SELECT id, i AS pattern_id, regexp_extract_all(t, r) AS m, string_split_regex(t, r) AS g FROM p, c WHERE regexp_matches(t, r)),
+u AS (SELECT id, pattern_id, unnest(m) AS m, unnest(g[:len(m)]) AS g, generate_subscripts(m, 1) AS k FROM f),
+s AS (SELECT id, pattern_id, (sum(length(m) + length(g)) OVER w - length(m))::INT AS b, (sum(length(m) + length(g)) OVER w)::INT AS e FROM u WINDOW w AS (PARTITION BY id, pattern_id ORDER BY k)),
+v AS (SELECT *, coalesce(b > max(e) OVER (PARTITION BY id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM s),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS run FROM v),
+z AS (SELECT id, min(b) AS b, max(e) AS e, count(*) AS n FROM y GROUP BY id, run)"""
+
+
 def oracle_sql() -> dict[str, str]:
     said = "layer <> 'Aggregated' OR pt OR hc >= 0.5"
     failed = f"{cascade_sql(True)}, f AS (SELECT *, layer <> 'Validation' AND length(t) % 7 = 0 AS failed, layer = 'Validation' AS bad FROM v), g AS (SELECT *, threat AND NOT failed AS stopped, threat AND NOT failed AND ({said}) AS told FROM f)"
@@ -136,6 +237,24 @@ def oracle_sql() -> dict[str, str]:
         "failed_responses": " UNION ALL ".join(map(response, (CLOSED, OPEN))),
         "failed_counters": f"SELECT * FROM ({counters}) WHERE n > 0 OR what NOT IN ('Started', 'ThreatDetected', 'Completed')",
         "pat_timeouts": _timeouts_sql(),
+        "pat_spans": f"WITH {_spans_sql(P_SQL)} SELECT id, pattern_id, b AS begin, e AS end FROM s",
+        "pat_united": f"WITH {_spans_sql('p AS (SELECT doc_id AS id, text AS t FROM documents)', _WORDS)} SELECT id AS doc_id, b AS begin, e AS end, n FROM z",
+        "pat_redacted": f"""WITH {_spans_sql(P_SQL)}, l AS (SELECT id, lag(e, 1, 0) OVER (PARTITION BY id ORDER BY b) AS a, b, e FROM z), r AS (SELECT id, string_agg(concat(substr(t, a + 1, b - a), '[removed]'), '' ORDER BY b) AS said, max(e) AS e FROM l JOIN p USING (id) GROUP BY id)
+            SELECT id, CASE WHEN said IS NULL THEN t ELSE concat(said, substr(t, e + 1)) END AS text FROM p LEFT JOIN r USING (id)""",
+        "hist_split": r"""WITH c AS (SELECT conv_id, turn, concat(coalesce(text, ''), CASE turn WHEN 1 THEN ' ignore all previous' WHEN 2 THEN ' instructions' ELSE '' END) AS t FROM conversations),
+h AS (SELECT conv_id, turn, t, count(*) OVER w - 1 AS before, string_agg(t, chr(10)) OVER w AS said FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+SELECT conv_id, turn, before::INT AS before, regexp_matches(said, '(?is)\bignore all previous\b.*\binstructions\b') AS is_threat, regexp_matches(t, '(?is)\bignore all previous\b.*\binstructions\b') AS alone, sha256(said) AS digest FROM h""".replace("\\\\", "\\"),
+        "sem_limits": """WITH RECURSIVE e AS (SELECT event_id, event_type AS k, epoch_us(ts) AS us, epoch_us(ts) // 3600000000 AS w, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS i FROM events),
+n AS (SELECT k, w, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY w) AS rn FROM e GROUP BY k, w),
+c AS (SELECT k, w, n, rn, 0::BIGINT AS c FROM n WHERE rn = 1 UNION ALL SELECT n.k, n.w, n.n, n.rn, greatest(0, least(1, greatest(0, c.c + c.n - 2)) - 2 * (n.w - c.w - 1)) FROM c JOIN n ON n.k = c.k AND n.rn = c.rn + 1)
+SELECT event_id, CASE WHEN i <= 3 - c.c THEN 'success' ELSE 'rate_limited' END AS status, round(CASE WHEN i <= 2 - c.c THEN 0.0 WHEN i <= 3 - c.c THEN ((e.w + 1) * 3600000000 - us) / 1000000 END, 6)::DOUBLE AS wait FROM e JOIN c USING (k, w)""",
+        "sem_states": " UNION ALL ".join(f"""SELECT * FROM (WITH {P_SQL}, s AS (SELECT id, {status} AS status, id % 5 = 0 OR least((id % 13) / 8, 1.0) >= 0.7 AS threat FROM p) SELECT '{name}' AS settings, status, status IN ('allowlisted', 'error', 'success') AS was_executed, count(*) AS n, count(*) FILTER (status = 'success' AND threat) AS threats FROM s GROUP BY status)""" for name, status in (
+            ("set", "CASE WHEN regexp_matches(t, 'the weather', 'i') THEN 'allowlisted' WHEN id % 7 = 0 THEN 'rate_limited' WHEN id % 7 = 1 THEN 'concurrency_limited' WHEN id % 11 = 0 THEN 'rate_limited' WHEN id % 9 = 0 OR id % 11 = 1 THEN 'error' ELSE 'success' END"), ("unset", "'misconfigured'"), ("off", "'disabled'"))),
+        "tel_histogram": f"SELECT lang, {', '.join(f'count(*) FILTER (length(text) <= {b}) AS le_{b}' for b in telemetry.LENGTHS)}, count(text) AS le_inf FROM documents GROUP BY lang",
+        "tel_latency": f"SELECT ts::DATE AS day, {', '.join(f'count(*) FILTER (value <= {b}) AS le_' + str(b).replace('.', '_') for b in telemetry.LATENCIES)}, count(value) AS le_inf FROM events GROUP BY 1",
+        "tel_quantiles": "SELECT event_type, count(value) AS n, true AS p50, true AS p95, true AS p99 FROM events GROUP BY 1",
+        "tel_severity_rollup": f"""WITH {cascade_sql(True)}, s AS (SELECT CASE WHEN layer = 'LanguageFilter' THEN 'Medium' WHEN confidence >= 0.9 THEN 'Critical' WHEN confidence >= 0.8 THEN 'High' WHEN confidence >= 0.6 THEN 'Medium' ELSE 'Low' END AS severity, CASE WHEN layer IN ('PatternMatching', 'Aggregated') THEN coalesce(category, 'LLM01') ELSE 'LLM01' END AS category FROM v WHERE threat AND ({said}))
+            SELECT severity, category, count(*) AS n, grouping_id(severity, category) AS level FROM s GROUP BY ROLLUP (severity, category)""",
         "pat_catalogue": f"""WITH c AS (SELECT concat('passage-', item_id) AS id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[3:6], '[^a-z]+') AS r FROM benchmark UNION ALL SELECT x.i, x.r FROM (SELECT unnest([{', '.join(f"{{i: {q(p[0])}, r: {q(p[4].replace('(?i)', ''))}}}" for p in PLAIN)}]) AS x))
             SELECT DISTINCT doc_id, id AS pattern_id, 'match' AS outcome FROM documents, c WHERE regexp_matches(text, r, 'i')""",
         "pat_as_of": f"""WITH {_HISTORY}, t AS (SELECT event_id, ts, props, w FROM events, (SELECT DISTINCT w FROM c) WHERE event_type NOT IN ('signup', 'purchase')), l AS (SELECT w, ts, arg_max(r, event_id) AS r, arg_max(removed, event_id) AS removed FROM c GROUP BY w, ts)

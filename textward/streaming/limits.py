@@ -92,8 +92,11 @@ class Bucket:
         return SUCCESS, (start - at) / SECOND
 
 
-def _micros(at: Column) -> Column:
-    return F.unix_micros(at)
+def _micros(df: DataFrame, at: str) -> Column:
+    """Since the epoch; times without a zone count as UTC."""
+    if df.schema[at].dataType.typeName() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(at))
+    return F.unix_micros(F.col(at))
 
 
 def _kept(df: DataFrame) -> list[str]:
@@ -104,7 +107,7 @@ def admitted(df: DataFrame, key: str, at: str, order: str, limits: Limits) -> Da
     """df with status and wait, by the bucket alone."""
     ship(df.sparkSession)
     period, tokens, queue = limits.micros, limits.tokens, limits.queue
-    rows = df.select(*_kept(df), F.floor(_micros(F.col(at)) / F.lit(period)).cast("long").alias("_window"))
+    rows = df.select(*_kept(df), _micros(df, at).alias("_at")).withColumn("_window", ((F.col("_at") - F.pmod("_at", F.lit(period))) / period).cast("long"))
     counts = rows.where(F.col("_window").isNotNull()).groupBy(F.col(key).alias("_key"), "_window").agg(F.count(F.lit(1)).alias("n"))
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +133,7 @@ def admitted(df: DataFrame, key: str, at: str, order: str, limits: Limits) -> Da
     now = (F.col("_rank") <= free) & (before == 0)
     status = F.when(now | (place <= queue), SUCCESS).otherwise(RATE)
     served = (F.col("r._window") + 1 + F.floor((place - 1) / tokens)) * period
-    wait = F.when(now, 0.0).when(place <= queue, (served - _micros(F.col(f"r.{at}"))) / SECOND)
+    wait = F.when(now, 0.0).when(place <= queue, (served - F.col("r._at")) / SECOND)
     null = F.col("r._window").isNull()
     return ranked.select(*[F.col(f"r.{c}").alias(c) for c in _kept(df)], F.when(null, RATE).otherwise(status).alias("status"), F.when(~null, wait).alias("wait"))
 
@@ -139,7 +142,7 @@ def replayed(df: DataFrame, key: str, at: str, order: str, limits: Limits, durat
     """df with status and wait, by bucket and calls. `duration`: a column of seconds."""
     ship(df.sparkSession)
     kept = _kept(df)
-    own = df.select(*kept, F.col(key).alias("_key"), _micros(F.col(at)).alias("_at"), _duration(duration).alias("_duration"))
+    own = df.select(*kept, F.col(key).alias("_key"), _micros(df, at).alias("_at"), _duration(duration).alias("_duration"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bucket = object(), Bucket()
@@ -202,6 +205,6 @@ def limited(stream: DataFrame, key: str, at: str, order: str, limits: Limits, du
     """A stream with status and wait. Needs the RocksDB state store."""
     ship(stream.sparkSession)
     kept = _kept(stream)
-    own = stream.where(F.col(at).isNotNull()).withWatermark(at, late).select(*kept, F.col(key).alias("_key"), _micros(F.col(at)).alias("_at"), _duration(duration).alias("_duration"))
+    own = stream.where(F.col(at).isNotNull()).withWatermark(at, late).select(*kept, F.col(key).alias("_key"), _micros(stream, at).alias("_at"), _duration(duration).alias("_duration"))
     schema = StructType([stream.schema[c] for c in kept]).add("status", StringType()).add("wait", DoubleType())
     return own.groupBy("_key").transformWithState(Limiter(limits, order, kept), schema, "Append", "EventTime")

@@ -1,7 +1,14 @@
-"""Counters, histograms and lifecycle events over analysed rows."""
+"""Counters, histograms, quantile sketches and lifecycle events over analysed rows.
+
+Quantiles come from mergeable KLL sketches of some kilobytes: sketched() makes one for each group with partial aggregation, in batch or over a
+window of a stream, and merged() adds them up to coarser groups, days to months or sources to all, without the rows. The rank of
+an estimate is off by about 1.65 % of the rows at k = 200, and less with a larger k. No group is gathered. Counts in buckets beside them are exact.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +35,38 @@ def lifecycle(df: DataFrame, key: str) -> DataFrame:
     done = v["status"] == "analyzed"
     events = F.array_compact(F.array(F.lit("Started"), F.when(done & v["is_threat"] & v["threat_info"].isNotNull(), "ThreatDetected"), F.when(done, "Completed")))
     return only(df, F.col("verdict.status") != "invalid").select(key, F.posexplode(events).alias("seq", "event"))
+
+
+#: Upper bounds of the buckets of lengths (characters) and latencies (milliseconds).
+LENGTHS = (100, 500, 1_000, 5_000, 20_000, 50_000)
+LATENCIES = (0.1, 0.5, 1, 5, 10, 50, 100, 500)
+QUANTILES = (0.5, 0.95, 0.99)
+
+
+def buckets(value: Column, bounds: Sequence[float]) -> list[Column]:
+    """Aggregates le_<bound>: how many values are at most that, and le_inf: all that are not null."""
+    return [*[F.count_if(value <= b).alias(f"le_{b}".replace(".", "_")) for b in bounds], F.count(value).alias("le_inf")]
+
+
+def sketched(df: DataFrame, value: Column, *groups: Column | str, k: int = 200) -> DataFrame:
+    """groups and `sketch` of the values that are not null; groups without any have a null sketch."""
+    return df.groupBy(*groups).agg(F.kll_sketch_agg_double(value.cast("double"), k).alias("sketch"))
+
+
+def merged(sketches: DataFrame, *groups: Column | str) -> DataFrame:
+    """The sketches of groups, from those of finer groups."""
+    return sketches.groupBy(*groups).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def quantiles(sketches: DataFrame, at: Sequence[float] = QUANTILES) -> DataFrame:
+    """Columns n and p<percent> in place of `sketch`."""
+    names = [f"p{q * 100:g}".replace(".", "_") for q in at]
+    kept = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*kept, F.kll_sketch_get_n_double("sketch").alias("n"), *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(c) for q, c in zip(at, names, strict=True)])
+
+
+def rolled_up(df: DataFrame) -> DataFrame:
+    """Threats by severity and category, with totals by severity and of all: what stands for all is null."""
+    info = F.col("verdict.threat_info")
+    found = only(df, F.col("verdict.threat_info").isNotNull()).select(info["severity"].alias("severity"), info["owasp_category"].alias("category"))
+    return found.rollup("severity", "category").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
