@@ -122,6 +122,20 @@ class Aggregation:
     ml: float = 0.8
 
 
+@dataclass(frozen=True)
+class Telemetry:
+    """What an analysed stream tells: counters, spans' tags, and events; and whether events hold the text."""
+
+    metrics: bool = True
+    tracing: bool = True
+    logging: bool = True
+    log_content: bool = False
+
+    @property
+    def any(self) -> bool:
+        return self.metrics or self.tracing or self.logging
+
+
 @dataclass(frozen=True)
 class Config:
     threat_threshold: float = 0.75
@@ -134,6 +148,7 @@ class Config:
     ml: Ml = field(default_factory=Ml)
     semantic: Semantic = Semantic()
     aggregation: Aggregation = Aggregation()
+    telemetry: Telemetry = Telemetry()
 
     def __post_init__(self) -> None:
         if self.max_length <= 0:
@@ -153,7 +168,7 @@ class Config:
             known = {f.name: f for f in dataclasses.fields(kind)}
             if extra := set(values) - set(known):
                 raise ValueError(f"unknown settings: {sorted(extra)}")
-            parts = {"language": Language, "patterns": Patterns, "heuristics": Heuristics, "ml": Ml, "semantic": Semantic, "aggregation": Aggregation}
+            parts = {"language": Language, "patterns": Patterns, "heuristics": Heuristics, "ml": Ml, "semantic": Semantic, "aggregation": Aggregation, "telemetry": Telemetry}
             return kind(**{k: build(parts[k], v) if kind is cls and k in parts else tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
         return build(cls, settings)

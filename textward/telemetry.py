@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textward.config import Telemetry
 from textward.plans.cascade import only
 
 
@@ -23,9 +24,26 @@ def counters(text: Column) -> list[Column]:
     return [F.count_if(status != "invalid").alias("analyses"), F.count_if("verdict.is_threat").alias("threats"), F.count_if(status.isin("error", "fail_open")).alias("errors"), F.count_if(status == "invalid").alias("invalid"), F.sum(n).alias("chars"), F.max(n).alias("longest")]
 
 
-def observed(df: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """The same rows, with the counters as an observation that listeners get when the query runs."""
-    return df.observe(name, *counters(F.col(text)))
+def observed(df: DataFrame, name: str, text: str = "text", telemetry: Telemetry = Telemetry()) -> DataFrame:
+    """The same rows, with the counters as an observation that listeners get when the query runs; without it where metrics, tracing and
+    logging are all off."""
+    return df.observe(name, *counters(F.col(text))) if telemetry.any else df
+
+
+def tags(key: Column, text: Column, telemetry: Telemetry = Telemetry()) -> Column:
+    """What a trace's span of an analysis is tagged with, as a map; null where tracing is off. The text itself only with log_content."""
+    v = F.col("verdict")
+    failed = v["status"].isin("error", "fail_open")
+    done = ~failed & (v["status"] == "analyzed")
+    pairs = {
+        "analysis.id": key.cast("string"), "prompt.length": F.length(text).cast("string"), "threat.detected": F.when(done, v["is_threat"].cast("string")), "analysis.confidence": F.when(done, v["confidence"].cast("string")),
+        "analysis.decision_layer": F.when(done, v["decision_layer"]), "threat.confidence": F.when(done & v["is_threat"], v["confidence"].cast("string")), "threat.owasp_category": F.when(done & v["is_threat"], F.coalesce(v["threat_info"]["owasp_category"], F.lit("unknown"))), "status": F.when(failed, "Error"),
+    }
+    if telemetry.log_content:
+        pairs["prompt.text"] = text
+    made = F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), c)])
+    kept = F.map_filter(made, lambda _, x: x.isNotNull())
+    return F.when(v["status"] != "invalid", kept) if telemetry.tracing else F.lit(None).cast("map<string,string>")
 
 
 def lifecycle(df: DataFrame, key: str) -> DataFrame:
