@@ -76,9 +76,42 @@ def slow_ftrl(sets, labels):
     return {i: weight(i) for i in z if weight(i)}, bias
 
 
+def slow_lift(sets, labels):
+    """The bias's correction, a candidate at a time."""
+    logits = [0.0] * len(sets)
+    for f in range(3):
+        w, bias = slow_ftrl([x for k, x in enumerate(sets) if k % 3 != f], [x for k, x in enumerate(labels) if k % 3 != f])
+        for k in range(f, len(sets), 3):
+            logits[k] = bias + sum(w.get(i, 0.0) for i in sets[k])
+    clean = labels.count(0)
+    costs = []
+    for step in range(81):
+        over = [x + 0.05 * step >= -1e-12 for x in logits]
+        flagged, missed = sum(o and not y for o, y in zip(over, labels)), sum(not o and y for o, y in zip(over, labels))
+        costs.append(missed * clean / (len(labels) - clean) + flagged if step == 0 or flagged <= 0.015 * clean else math.inf)
+    first = min(range(81), key=lambda s: costs[s])
+    last = first
+    while last < 80 and math.isclose(costs[last + 1], costs[first]):
+        last += 1
+    return 0.05 * ((first + last) // 2)
+
+
+def test_the_edge_is_lifted_where_toxic_rows_are_few_and_left_without_both_kinds():
+    assert toxicity.lifted([np.array([1])] * 6, np.zeros(6)) == 0.0
+    rng = np.random.default_rng(1)
+    # a third of the toxic rows hold only rare words
+    sets = [np.unique(np.append(rng.integers(0, 40, 6), 100 + rng.integers(0, 30) if k % 10 == 0 else [])).astype(np.int32) for k in range(900)]
+    labels = (np.arange(900) % 10 == 0).astype(float)
+    w, bias = toxicity.ftrl(sets, labels)
+    up = toxicity.lifted(sets, labels)
+    found = lambda lift: sum(bias + lift + w[x].sum() >= 0 for x, y in zip(sets, labels, strict=True) if y)
+    assert up > 0 and found(up) >= found(0)
+
+
 def slow_features(text):
-    stems = [s for w in (text or "").split() if (s := w.lower().strip(toxicity.EDGES)[:5])]
-    grams = [(1, a, a) for a in stems] + [(4, a, b) for a, b in zip(stems, stems[1:])] + [(5, a, b) for a, b in zip(stems, stems[2:])]
+    words = [s for w in (text or "").split() if (s := w.lower().strip(toxicity.EDGES))]
+    stems = [w[:5] for w in words]
+    grams = [(1, a, a) for a in stems] + [(2, a, a) for a in words] + [(4, a, b) for a, b in zip(stems, stems[1:])] + [(5, a, b) for a, b in zip(stems, stems[2:])]
 
     def bucket(kind, a, b):
         a, b = zlib.crc32(a.encode()), zlib.crc32(b.encode())
@@ -96,7 +129,9 @@ def test_weights_and_scores_against_a_slow_learner(spark):
     want = [(k, t) for k, t in docs if zlib.crc32(str(k).encode()) % 5]
     places = {r.doc_id: r.place for r in spark.createDataFrame([(k,) for k, _ in want], "doc_id long").selectExpr("doc_id", "xxhash64('sample', doc_id) AS place").collect()}
     want.sort(key=lambda r: places[r[0]])
-    weights, bias = slow_ftrl([sorted(slow_features(t)) for _, t in want], [labels[k][2] for k, _ in want])
+    sets, marks = [sorted(slow_features(t)) for _, t in want], [labels[k][2] for k, _ in want]
+    weights, bias = slow_ftrl(sets, marks)
+    bias += slow_lift(sets, marks)
     got = toxicity.learn(toxicity._labelled(docs_of(spark, docs), spark.createDataFrame(labels, LABEL)))
     assert set(got[0].tolist()) == set(weights) and np.allclose(got[1], [weights[i] for i in got[0].tolist()]) and math.isclose(got[2], bias, abs_tol=1e-9)
     for r in toxicity.report(docs_of(spark, docs), spark.createDataFrame(labels, LABEL)).collect():
@@ -204,14 +239,36 @@ def slow_quality(rows):
     hosts = {}
     for r, f in zip(rows, fails, strict=True):
         hosts.setdefault(r[3], []).append(f)
-    rates = [sum(x) / len(x) for x in hosts.values()]
-    mean = sum(rates) / len(rates)
-    var = max(0.0, sum(x * x for x in rates) / len(rates) - mean * mean)
-    strength = min(10_000.0, max(1.0, mean * (1 - mean) / var - 1)) if var > 1e-12 else 100.0
+    n = sum(map(len, hosts.values()))
+    mean = sum(map(sum, hosts.values())) / n
+    between = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in hosts.values())
+    rest = n - sum(len(x) ** 2 for x in hosts.values()) / n - (len(hosts) - 1)
+    strength = 100.0
+    if 0 < mean < 1 and rest > 0:
+        alike = (between / (mean * (1 - mean)) - (len(hosts) - 1)) / rest
+        strength = min(10_000.0, max(1.0, 1 / alike - 1)) if alike > 0 else 10_000.0
     bad = {h for h, x in hosts.items() if (sum(x) + mean * strength) / (len(x) + strength) > 0.5}
     return [r for r, f in zip(rows, fails, strict=True) if not f and r[3] not in bad]
 
 
+@pytest.mark.parametrize("size", [2, 50, 500])
+def test_the_prior_follows_how_hosts_differ_not_their_size(size):
+    from textward.llm import quality_rules
+
+    rng = np.random.default_rng(2)
+
+    def strength(rates):
+        failed = rng.binomial(size, rates)
+        n = np.full(len(rates), size)
+        return quality_rules.prior(len(n), float(n.sum()), float(failed.sum()), float((n * n).sum()), float((failed * failed / n).sum()))
+
+    mean, alike = strength(np.full(4000, 0.1))
+    assert abs(mean - 0.1) < 0.02 and alike > 30
+    mean, mixed = strength(rng.beta(0.5, 4.5, 4000))
+    assert abs(mean - 0.1) < 0.02 and 3 < mixed < 8  # five, by which they are dealt
+    assert quality_rules.prior(0, 0.0, 0.0, 0.0, 0.0) == (0.0, 100.0) and quality_rules.prior(1, 9.0, 3.0, 81.0, 1.0)[1] == 100.0
+
+
 def slow_lines(rows):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     where = {}
@@ -304,3 +361,20 @@ def test_the_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABEL).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sets_beyond_the_bands_at_hand_are_dealt_alike(spark, monkeypatch):
+    docs = docs_of(spark, [(k, near(k % 4) if k < 8 else near(60 - k)) for k in range(16)])
+    once = rows_of(shingle_join.classes(docs, words=4, percent=85))
+    monkeypatch.setattr(shingle_join, "LARGEST", 5)
+    assert rows_of(shingle_join.classes(docs, words=4, percent=85)) == once and len({r[2] for r in once}) < 16
+
+
+def test_every_doc_id_comes_back_from_the_store(spark):
+    import public_tokenizers
+
+    from textward.llm import token_store
+
+    ids = [-(2**63), None, 2**63 - 1, 0, -1, None, -(2**63), 7, 8, 9]
+    got = token_store.token_store(docs_of(spark, [(i, f"text {k}") for k, i in enumerate(ids)]), public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(ids, key=repr)
