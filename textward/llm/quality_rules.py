@@ -1,9 +1,11 @@
 """Quality rules: base rules of each document, then a verdict on its host.
 
 Base rules: fewer than min_words words, or more than repeat_percent of them in repeated 5-word windows. Hosts: failures are
-summed by host, a beta prior is fitted to all hosts' rates by the method of moments, each host's rate is shrunk to the
-prior's mean, and hosts whose shrunk rate is above host_limit lose their documents. Counts are pre-aggregated, so that a hot
-host is a row from each task; only the prior's four sums reach the driver. Only DataFrame functions are used.
+summed by host, a beta prior is fitted to all hosts' counts by the beta-binomial method of moments, each host's rate is shrunk to the
+prior's mean, and hosts whose shrunk rate is above host_limit lose their documents. Hosts weigh as much as they have documents, and
+the spread that chance alone gives hosts of their size is taken off: alike hosts give a strong prior however small they are, and
+hosts that differ a weak one. Counts are pre-aggregated, so that a hot
+host is a row from each task; only the prior's five sums reach the driver. Only DataFrame functions are used.
 
 Words are [^\\x20\\x09-\\x0D]+. A null text has none and fails. A null host is a host of its own. Repeated rows count each.
 An empty table gives an empty result. Other columns are not needed.
@@ -21,7 +23,7 @@ from .common import SPACE_CHARS, saved, words_of
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, REPEAT_PERCENT, HOST_LIMIT = 10, 20, 0.5
-#: Strength of the prior where the hosts' rates do not vary, and its bounds.
+#: Strength of the prior where nothing can be told of how hosts differ, and its bounds.
 PRIOR, PRIOR_LEAST, PRIOR_MOST = 100.0, 1.0, 10_000.0
 
 
@@ -72,14 +74,24 @@ def base_rules(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS
     return found.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
 
 
+def prior(hosts: int, n: float, failed: float, squares: float, spread: float) -> tuple[float, float]:
+    """Mean and strength of the beta prior, from the number of hosts, the sums of their documents n, failures f, n * n and f * f / n."""
+    mean = failed / n if n else 0.0
+    own = mean * (1 - mean)
+    rest = n - squares / n - (hosts - 1) if n else 0.0
+    if own <= 0 or rest <= 0:
+        return mean, PRIOR
+    # the share of the spread that is between hosts; by chance alone the first term is hosts - 1
+    alike = ((spread - n * mean * mean) / own - (hosts - 1)) / rest
+    return mean, min(PRIOR_MOST, max(PRIOR_LEAST, 1 / alike - 1)) if alike > 0 else PRIOR_MOST
+
+
 def bad_hosts(rules: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """Hosts whose shrunk rate of failures is above the limit: host, rate."""
     hosts = rules.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum(rate).alias("rate"), F.sum(rate * rate).alias("square")).first()
-    mean = sums["rate"] / sums["hosts"] if sums["hosts"] else 0.0
-    variance = max(0.0, sums["square"] / sums["hosts"] - mean * mean) if sums["hosts"] else 0.0
-    strength = min(PRIOR_MOST, max(PRIOR_LEAST, mean * (1 - mean) / variance - 1)) if variance > 1e-12 else PRIOR
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(failed).alias("failed"), F.sum(n * n).alias("squares"), F.sum(failed * failed / n).alias("spread")).first()
+    mean, strength = prior(sums["hosts"], sums["n"] or 0.0, sums["failed"] or 0.0, sums["squares"] or 0.0, sums["spread"] or 0.0)
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.select("host", shrunk.alias("rate")).where(F.col("rate") > host_limit)
 
@@ -118,8 +130,9 @@ b AS (SELECT d.doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) A
       FROM d LEFT JOIN p USING (doc_id)),
 e AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM e GROUP BY host),
-m AS (SELECT avg(failed / n) AS mean, greatest(0, avg((failed / n) * (failed / n)) - avg(failed / n) * avg(failed / n)) AS variance FROM h),
-s AS (SELECT mean, CASE WHEN variance > 1e-12 THEN least(10000, greatest(1, mean * (1 - mean) / variance - 1)) ELSE 100 END AS strength FROM m),
+m AS (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(failed)::DOUBLE / sum(n) AS mean, sum(n::DOUBLE * n) AS squares, sum(failed::DOUBLE * failed / n) AS spread FROM h),
+o AS (SELECT mean, n - squares / n - (k - 1) AS rest, CASE WHEN mean > 0 AND mean < 1 AND n - squares / n - (k - 1) > 0 THEN ((spread - n * mean * mean) / (mean * (1 - mean)) - (k - 1)) / (n - squares / n - (k - 1)) END AS alike FROM m),
+s AS (SELECT mean, CASE WHEN alike IS NULL THEN 100 WHEN alike <= 0 THEN 10000 ELSE least(10000, greatest(1, 1 / alike - 1)) END AS strength FROM o),
 x AS (SELECT host, (failed + mean * strength) / (n + strength) AS rate FROM h, s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
