@@ -171,7 +171,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
             nonlocal block, first, held, n
             ids = np.frombuffer(b"".join(x for _, x in held), kind)
             payload, marks = code.encode(ids)
-            row = [[part], [block], [first], [np.array([d if d is not None else NULL for d, _ in held], "<i8").tobytes()], [np.array([len(x) // ids.itemsize for _, x in held], "<u4").tobytes()], [payload], [marks]]
+            row = [[part], [block], [first], [np.array([d or 0 for d, _ in held], "<i8").tobytes() + np.packbits([d is None for d, _ in held]).tobytes()], [np.array([len(x) // ids.itemsize for _, x in held], "<u4").tobytes()], [payload], [marks]]
             block, first, held, n = block + 1, first + len(ids), [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["part", "block", "first", "doc_ids", "lengths", "payload", "marks"])
 
@@ -190,10 +190,6 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
     ranged.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(path)
 
 
-#: Stands for a null doc_id in a block.
-NULL = -(1 << 63)
-
-
 def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (array) of every document."""
     ship(spark)
@@ -220,8 +216,10 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                owners = np.frombuffer(doc_ids, "<i8")
-                columns = [pa.array(owners, pa.int64(), mask=owners == NULL), pa.array(base[part] + first + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
+                # behind the ids a bit for each tells whether it is null
+                owners = np.frombuffer(doc_ids, "<i8", len(sizes))
+                nulls = np.unpackbits(np.frombuffer(doc_ids, np.uint8, offset=8 * len(sizes)), count=len(sizes)).astype(bool)
+                columns = [pa.array(owners, pa.int64(), mask=nulls), pa.array(base[part] + first + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
