@@ -87,6 +87,10 @@ def _node(x: np.ndarray) -> int:
     return total - 2**64 if total >= 2**63 else total
 
 
+#: Sets up to this size have their bands at hand; larger ones make theirs.
+LARGEST = 50_000_000
+
+
 def bands(percent: int, most: int) -> list[int]:
     """The upper ends of the size bands; a partner of a set in one band is in it or in a neighbour."""
     his = [1]
@@ -154,9 +158,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> DataFrame:
     """sig, node and need of every document's set, in its own band's partition and in the one below."""
     plans: dict[int, tuple[int, int]] = {}
-    his = bands(percent, 50_000_000)
+    first = bands(percent, LARGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        his = first
         seen: set[int] = set()  # copies need not be dealt again
         for batch in batches:
             for part in chunks(batch, most=2_000_000):
@@ -166,6 +171,8 @@ def _signature_rows(docs: DataFrame, words: int, percent: int, sets: float) -> D
                         continue
                     if len(seen) < SEEN:
                         seen.add(node)
+                    if len(x) > his[-2]:  # which a band and the next are needed for; those before stay as they are
+                        his = bands(percent, 4 * len(x))
                     band = int(np.searchsorted(his, len(x)))
                     for b in (band, band - 1):
                         if b < 0 or b < band and len(x) > his[b] * 100 // percent:
