@@ -61,7 +61,7 @@ CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: What a character within a link counts, share of the deviation over which a block is a seed, share of seed text in a container,
 #: share of linked text from which a block is a link.
-LINKED, SHARE, HELD, LINKS = 0.02, 0.5, 0.9, 0.6
+LINKED, SHARE, HELD, LINKS = 0.02, 0.8, 0.9, 0.6
 
 
 class _Page:
