@@ -449,3 +449,36 @@ def test_tags_of_spans(spark):
     assert v.select(telemetry.tags(F.col("id"), F.col("text"), Telemetry(tracing=False))).first()[0] is None
     assert "prompt.text" in v.select(telemetry.tags(F.col("id"), F.col("text"), Telemetry(log_content=True))).first()[0]
     assert "CollectMetrics" in plan_of(telemetry.observed(v, "x")) and "CollectMetrics" not in plan_of(telemetry.observed(v, "x", telemetry=Telemetry(False, False, False)))
+
+
+# ---- a model in the cascade
+
+
+def test_model_decides_with_the_features_and_degrades_where_it_fails(spark, sf):
+    import math
+
+    from textward.catalog_queries import NO_REPETITION, _prompts
+    from textward.config import Language, Ml
+    from textward.functions import tokenize
+
+    own = Config(language=Language(enabled=False), patterns=NO_REPETITION, ml=Ml(threshold=0.3))
+    plain = {r["id"]: r for r in analyze(_prompts(spark, sf), "text", own).select("id", "verdict", "ml", tokenize.word_ids(F.col("text"), 512).alias("ids")).collect()}
+    df = service_queries.casc_model(spark, sf)
+    assert plan_of(df).count("ArrowEvalPython") == 2  # character statistics and the model, each once
+    run = service_queries._model(spark, sf, own)()
+    modes = set()
+    for r in df.collect():
+        p = plain[r["id"]]
+        if p["ml"] is None:
+            assert r["mode"] is None and r["decision_layer"] == p["verdict"]["decision_layer"]
+            continue
+        modes.add(r["mode"])
+        feature = p["ml"]["confidence"]
+        if service_queries._too_much(p["ids"]):
+            assert (r["mode"], r["score"]) == ("Degraded", pytest.approx(feature, abs=2e-5))
+            continue
+        z = run([p["ids"]], [None])[0][1]
+        model = 1 / (1 + math.exp(-z))
+        weight = 0.7 + abs(model - 0.5) * 2 * 0.3 * 0.3
+        assert (r["mode"], r["score"]) == ("Ensemble", pytest.approx(min(1, max(0, model * weight + feature * (1 - weight))), abs=2e-5))
+    assert modes == {"Degraded", "Ensemble"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward import catalog
@@ -97,7 +97,37 @@ def model_udf(session_of: Callable[[], Callable[[list[list[int]], list[list[int]
                         out[k] = None
             yield pd.Series(out, dtype="float64")
 
-    return infer
+    return infer.asNondeterministic()  # so that the optimizer runs it once
+
+
+def fitted(labelled: DataFrame, text: str, label: str, config: Config, max_rows: int = 2_000, steps: int = 300) -> Callable[[], Callable[[list[list[int]], list[list[int]]], list[list[float]]]]:
+    """session_of() for model_udf() around a logistic regression over how often each token stands in a text. It is fitted on the driver, on the
+    labelled rows with the smallest hashes, `max_rows` at most, each as counts of the vocabulary's tokens."""
+    import numpy as np
+
+    from textward.functions import tokenize
+
+    size = len(tokenize.vocabulary()) + tokenize.FIRST
+    rows = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(text).alias("h"), tokenize.word_ids(F.col(text), config.ml.max_sequence).alias("ids"), F.col(label).cast("int").alias("y"))
+    sample = rows.orderBy("h", "y").limit(max_rows).collect()
+
+    def counts(ids: list[list[int]]) -> np.ndarray:
+        x = np.zeros((len(ids), size))
+        for k, own in enumerate(ids):
+            np.add.at(x[k], [i for i in own if i != tokenize.PAD], 1.0)
+        return x / np.maximum(x.sum(axis=1, keepdims=True), 1.0)
+
+    x, y = counts([r["ids"] for r in sample]), np.array([r["y"] for r in sample], float)
+    w, bias = np.zeros(size), 0.0
+    for _ in range(steps if len(sample) else 0):
+        g = 1.0 / (1.0 + np.exp(-(x @ w + bias))) - y
+        w -= 5.0 * (x.T @ g / len(y) + 1e-4 * w)
+        bias -= 5.0 * g.mean()
+
+    def make() -> Callable[[list[list[int]], list[list[int]]], list[list[float]]]:
+        return lambda ids, mask: [[0.0, float(z)] for z in counts(ids) @ w + bias]
+
+    return make
 
 
 def onnx_session(path: str, input_ids: str = "input_ids", attention_mask: str = "attention_mask"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textward import catalog
 from textward.config import OPEN, Config
+from textward.functions import tokenize
 from textward.functions.features import char_features, features
 from textward.functions.text import clamp, let, percent, severity_of
 from textward.operators import heuristics, language, ml, patterns, validate
@@ -17,14 +18,15 @@ from textward.shipping import ship
 ANALYSIS = ["validation", "language", "patterns", "heuristics", "ml", "verdict"]
 
 
-def analyze(df: DataFrame, text: str = "text", config: Config | None = None, more_patterns: Sequence[patterns.Pattern] = (), analyzers: Sequence[Callable[[Column], Column]] = (), detector: Callable[[Column], Column] | None = None, model: Column | None = None, system_prompt: str | None = None, with_id: bool = False) -> DataFrame:
+def analyze(df: DataFrame, text: str = "text", config: Config | None = None, more_patterns: Sequence[patterns.Pattern] = (), analyzers: Sequence[Callable[[Column], Column]] = (), detector: Callable[[Column], Column] | None = None, model: Column | Callable[[Column, Column], Column] | None = None, system_prompt: str | None = None, with_id: bool = False) -> DataFrame:
     """df with the layers' structs and `verdict`. Columns of df with those names are replaced. Invalid texts get a verdict with
     status invalid, whatever is to happen on errors. A text for which `detector` gives null has failed: its status is error, or
-    fail_open where errors are to fail open. An analyzer that gives null is left out of the mean, and a model that gives null
-    leaves the features alone to decide. Without config.include_breakdown, rows that no single layer decided have no layers'
+    fail_open where errors are to fail open. An analyzer that gives null is left out of the mean. `model` is a column of
+    probabilities, or a function from token ids and mask to one, as ml.model_udf() gives; ids are made, and the model runs, only for texts
+    that reach scoring. Where it gives null the features alone decide, in mode Degraded. Without config.include_breakdown, rows that no single layer decided have no layers'
     structs."""
     config = config or Config()
-    taken = set(ANALYSIS) | {"_text", "_open", "_repeated", "_chars", "_facts", "_found", "_failed"}
+    taken = set(ANALYSIS) | {"_text", "_open", "_repeated", "_chars", "_facts", "_found", "_failed", "_ids", "_model"}
     kept = [c for c in df.columns if c not in taken or c == text]
     t = F.col("_text")
     rows = patterns.active(config, more_patterns)
@@ -52,7 +54,12 @@ def analyze(df: DataFrame, text: str = "text", config: Config | None = None, mor
         scored = open_gate & ~exit1 & ~exit2 & ((p + h) / 2 >= config.ml.threshold * 0.5)
         ship(df.sparkSession)
         out = out.withColumn("_chars", char_features()(F.when(scored, t)))
-        out = out.withColumn("ml", F.when(scored, ml.layer(t, features(t, F.col("_chars")), config, model)))
+        failed_model = None
+        if callable(model) and not isinstance(model, Column):
+            out = out.withColumn("_ids", F.when(scored, tokenize.word_ids(t, config.ml.max_sequence)))
+            out = out.withColumn("_model", model(F.col("_ids"), F.when(F.col("_ids").isNotNull(), tokenize.attention_mask(F.col("_ids")))))
+            model, failed_model = F.col("_model"), F.col("_model").isNull()
+        out = out.withColumn("ml", F.when(scored, ml.layer(t, features(t, F.col("_chars")), config, model, failed_model)))
     else:
         out = out.withColumn("ml", F.lit(None).cast("struct<layer:string,was_executed:boolean,status:string,confidence:double,is_threat:boolean,mode:string,threshold:double,threat_probability:double,safe_probability:double,top_features:array<string>,disabled_features_count:int>"))
     out = out.withColumn("_facts", _facts(config)).withColumn("verdict", verdict(config, with_id))

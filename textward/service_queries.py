@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textward import telemetry
-from textward.catalog_queries import LIGHT, P_SQL, PLAIN, _prompts, _r, _table, cascade_sql, q
-from textward.config import CLOSED, OPEN, Config, Patterns, Semantic
-from textward.operators import catalogue, heuristics, language, patterns, semantic, spans
+from textward.catalog_queries import LIGHT, NO_REPETITION, P_SQL, PLAIN, _prompts, _r, _table, cascade_sql, q
+from textward.config import CLOSED, OPEN, Config, Language, Ml, Patterns, Semantic
+from textward.functions import tokenize
+from textward.operators import catalogue, heuristics, language, ml, patterns, semantic, spans
 from textward.plans import cascade
+from textward.shipping import ship
 from textward.sources import requests
 from textward.streaming.history import whole, with_history
 from textward.streaming.limits import Limits, admitted, replayed
@@ -203,8 +205,38 @@ def hist_split(spark, d):
     return judged.select("conv_id", "turn", F.size("history").alias("before"), F.col("p.is_threat").alias("is_threat"), F.col("alone.is_threat").alias("alone"), F.sha2(whole(F.col("history"), F.col("text")).cast("binary"), 256).alias("digest"))
 
 
+def _model(spark: SparkSession, d: str, config: Config):
+    """A model of documents' quality that stands for a model file, and fails where the number of tokens is a multiple of three."""
+    docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id")
+    make = ml.fitted(docs, "text", "quality", config)
+
+    def session():
+        run = make()
+
+        def checked(ids, mask):
+            if any(map(_too_much, ids)):
+                raise ValueError("a text that the model cannot take")
+            return run(ids, mask)
+
+        return checked
+
+    return session
+
+
+def _too_much(ids: list[int]) -> bool:
+    return sum(i != tokenize.PAD for i in ids) % 3 == 0
+
+
+def casc_model(spark, d):
+    """The cascade with a model, which fails on some texts, next to the features."""
+    ship(spark)
+    own = Config(language=Language(enabled=False), patterns=NO_REPETITION, ml=Ml(threshold=0.3))
+    v = cascade.analyze(_prompts(spark, d), "text", own, model=ml.model_udf(_model(spark, d, own)))
+    return v.select("id", "verdict.decision_layer", "verdict.is_threat", F.round("verdict.confidence", 5).alias("confidence"), F.col("ml.mode").alias("mode"), F.round("ml.confidence", 5).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history, sem_limits, sem_calls, sem_states, tel_histogram, tel_latency, tel_quantiles, tel_severity_rollup, pat_spans, pat_united, pat_redacted, hist_split)}
+    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history, sem_limits, sem_calls, sem_states, tel_histogram, tel_latency, tel_quantiles, tel_severity_rollup, pat_spans, pat_united, pat_redacted, hist_split, casc_model)}
 
 
 _HISTORY = """c AS (SELECT concat('watch-', event_id % 25) AS w, ts, event_id, event_type = 'purchase' AS removed, CASE WHEN event_type = 'signup' THEN concat('"k": ', json_extract_string(props, '$.k'), '[^0-9]') ELSE '' END AS r FROM events WHERE event_type IN ('signup', 'purchase'))"""
