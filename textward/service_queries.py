@@ -9,11 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward import telemetry
-from textward.catalog_queries import LIGHT, NO_REPETITION, P_SQL, PLAIN, _prompts, _r, _table, cascade_sql, q
-from textward.config import CLOSED, OPEN, Config, Language, Ml, Patterns, Semantic
+from textward import catalog, telemetry
+from textward.catalog_queries import LIGHT, NO_REPETITION, P_SQL, PLAIN, _class_sql, _prompts, _r, _table, cascade_sql, language_sql, q
+from textward.config import BLOCK, CLOSED, LEVELS, OPEN, WARN, Config, Heuristics, Language, Ml, Patterns, Semantic
 from textward.functions import tokenize
-from textward.operators import catalogue, heuristics, language, ml, patterns, semantic, spans
+from textward.operators import catalogue, heuristics, language, ml, patterns, routing, semantic, spans, validate
 from textward.plans import cascade
 from textward.shipping import ship
 from textward.sources import requests
@@ -235,8 +235,58 @@ def casc_model(spark, d):
     return v.select("id", "verdict.decision_layer", "verdict.is_threat", F.round("verdict.confidence", 5).alias("confidence"), F.col("ml.mode").alias("mode"), F.round("ml.confidence", 5).alias("score"))
 
 
+def _odd_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts, every third with nine suspicious characters in front."""
+    some = F.when(F.pmod("id", F.lit(3)) == 0, _NINE).otherwise("")
+    return _prompts(spark, d).select("id", F.concat(some, "text").alias("text"))
+
+
+_NINE = catalog.SUSPICIOUS[8::-1] + catalog.SUSPICIOUS[:2]
+
+
+def val_warnings(spark, d):
+    """The warning as it is told: characters in the order of their first appearance, five at most, and how many more."""
+    v = validate.validation(F.col("text"), Config(), F.when(F.pmod("id", F.lit(7)) == 0, F.repeat(F.lit("x"), 50_001)))
+    return _odd_prompts(spark, d).select("id", v.alias("v")).select("id", F.get("v.warnings", 0).alias("warning"), F.get("v.errors", 0).alias("error"))
+
+
+def lang_gate_options(spark, d):
+    """The gate with warnings in place of blocks, and short texts blocked."""
+    own = Config(language=Language(supported=("de", "EN"), on_unsupported=WARN, on_short=BLOCK, on_low_confidence=WARN, min_length=40))
+    out = _prompts(spark, d).withColumn("l", language.gate(F.col("text"), language.detect(F.col("text")), own))
+    return out.select("id", "l.proceed", "l.blocked", "l.warning", "l.message", "l.confidence")
+
+
+def heu_levels(spark, d):
+    """How many prompts the keyword mode's directive signal fires for, by sensitivity."""
+    grid = None
+    for level in LEVELS:
+        own = Config(heuristics=Heuristics(compound=False, sensitivity=level))
+        part = _prompts(spark, d).select(heuristics.directive_signal(F.col("text"), own).alias("s")).groupBy(F.lit(level).alias("level")).agg(F.count("s").alias("n"), _r(F.sum("s.contribution")).alias("total"))
+        grid = part if grid is None else grid.unionByName(part)
+    return grid
+
+
+def thr_message(spark, d):
+    """The text of the error that stops a prompt."""
+    v = cascade.analyze(_prompts(spark, d), "text", LIGHT)
+    return v.select("id", requests.blocked_message(F.col("verdict"), F.col("id").cast("string")).alias("message"))
+
+
+def req_metadata(spark, d):
+    """The metadata that goes with each request."""
+    m = routing.metadata(F.lit("Events"), F.concat(F.lit("c-"), F.col("event_id").cast("string")), {"Path": F.concat(F.lit("/"), "event_type"), "User": F.col("user_id")})
+    return _table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", "m.source", "m.correlation_id", F.col("m.properties")["Path"].alias("path"), F.col("m.properties")["User"].alias("user"))
+
+
+def casc_ids(spark, d):
+    """Verdicts with an id and a time of their own: all ids differ, and all times are one query's."""
+    v = cascade.analyze(_prompts(spark, d), "text", LIGHT, with_id=True)
+    return v.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("verdict.analysis_id").alias("ids"), F.count_distinct("verdict.ts").alias("times"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history, sem_limits, sem_calls, sem_states, tel_histogram, tel_latency, tel_quantiles, tel_severity_rollup, pat_spans, pat_united, pat_redacted, hist_split, casc_model)}
+    return {f.__name__: f for f in (failed_responses, failed_counters, pat_timeouts, pat_catalogue, pat_as_of, cat_history, sem_limits, sem_calls, sem_states, tel_histogram, tel_latency, tel_quantiles, tel_severity_rollup, pat_spans, pat_united, pat_redacted, hist_split, casc_model, val_warnings, lang_gate_options, heu_levels, thr_message, req_metadata, casc_ids)}
 
 
 _HISTORY = """c AS (SELECT concat('watch-', event_id % 25) AS w, ts, event_id, event_type = 'purchase' AS removed, CASE WHEN event_type = 'signup' THEN concat('"k": ', json_extract_string(props, '$.k'), '[^0-9]') ELSE '' END AS r FROM events WHERE event_type IN ('signup', 'purchase'))"""
@@ -269,6 +319,18 @@ def oracle_sql() -> dict[str, str]:
         "failed_responses": " UNION ALL ".join(map(response, (CLOSED, OPEN))),
         "failed_counters": f"SELECT * FROM ({counters}) WHERE n > 0 OR what NOT IN ('Started', 'ThreatDetected', 'Completed')",
         "pat_timeouts": _timeouts_sql(),
+        "val_warnings": rf"""WITH {P_SQL}, o AS (SELECT id, concat(CASE WHEN id % 3 = 0 THEN {q(_NINE)} ELSE '' END, t) AS t FROM p), c AS (SELECT id, unnest(regexp_extract_all(t, {_class_sql(catalog.SUSPICIOUS)})) AS c, generate_subscripts(regexp_extract_all(t, {_class_sql(catalog.SUSPICIOUS)}), 1) AS k FROM o),
+            f AS (SELECT id, concat('U+', lpad(printf('%X', unicode(c)), 4, '0')) AS c, min(k) AS k FROM c GROUP BY 1, 2), g AS (SELECT id, count(*) AS n, list(c ORDER BY k) AS cs FROM f GROUP BY id)
+            SELECT o.id, CASE WHEN n > 0 THEN concat('PROMPT_SUSPICIOUS_CHARS: ', array_to_string(cs[1:5], ', '), CASE WHEN n > 5 THEN concat(' and ', n - 5, ' more') ELSE '' END) END AS warning,
+                   CASE WHEN NOT regexp_matches(t, '\S') THEN 'PROMPT_REQUIRED: prompt is missing or blank' WHEN o.id % 7 = 0 THEN 'PROMPT_TOO_LONG: system prompt of more than 50000 characters' END AS error FROM o LEFT JOIN g USING (id)""".replace("\\\\", "\\"),
+        "lang_gate_options": f"""WITH {P_SQL}, {language_sql()}, g AS (SELECT id, length(t) < 40 AS short, code, confidence, CASE code {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in catalog.LANGUAGES.items())} END AS name FROM l),
+            s AS (SELECT id, CASE WHEN short THEN 'short' WHEN confidence < 0.7 THEN 'low' WHEN code IN ('de', 'en') THEN 'free' ELSE 'other' END AS s, name FROM g)
+            SELECT id, s <> 'short' AS proceed, s = 'short' AS blocked, s IN ('low', 'other') AS warning, CASE s WHEN 'short' THEN 'Text too short for reliable language detection' WHEN 'low' THEN 'Language detection confidence too low. Detection may be less effective.' WHEN 'other' THEN concat('Language ', chr(39), name, chr(39), ' is not supported. Supported: [de, EN]. Detection may be less effective.') END AS message, CASE WHEN s = 'short' THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM s""",
+        "heu_levels": " UNION ALL ".join(f"""SELECT * FROM (WITH {P_SQL}, c AS (SELECT {' + '.join(f'contains(lower(t), {q(w)})::INT' for w in catalog.DIRECTIVE_WORDS)} AS a FROM p) SELECT '{level}' AS level, count(*) FILTER (a >= {least}) AS n, round(sum(least(1.0, least(1.0, a / 5.0) * {m})) FILTER (a >= {least}), 6)::DOUBLE AS total FROM c)""" for level, least, m in (("Low", 5, 0.7), ("Medium", 3, 1.0), ("High", 2, 1.2), ("Paranoid", 1, 1.5))),
+        "thr_message": f"""WITH {cascade_sql(True)}, s AS (SELECT id, threat, {said} AS told, confidence AS c, layer, category FROM v), m AS (SELECT *, concat(round(c * 100)::INT, '%') AS share, CASE WHEN layer = 'LanguageFilter' THEN 'Medium' WHEN c >= 0.9 THEN 'Critical' WHEN c >= 0.8 THEN 'High' WHEN c >= 0.6 THEN 'Medium' ELSE 'Low' END AS severity FROM s)
+            SELECT id, CASE WHEN threat AND NOT told THEN concat('Potential prompt injection detected (AnalysisId: ', id, ', Confidence: ', share, ')') WHEN threat THEN concat('Prompt injection detected: ', CASE WHEN layer = 'LanguageFilter' THEN 'Unsupported Language' ELSE 'Prompt Injection' END, ' (AnalysisId: ', id, ', OWASP: ', CASE WHEN layer IN ('PatternMatching', 'Aggregated') THEN coalesce(category, 'LLM01') ELSE 'LLM01' END, ', Confidence: ', share, ', Severity: ', severity, ')') END AS message FROM m""",
+        "req_metadata": "SELECT event_id, 'Events' AS source, concat('c-', event_id) AS correlation_id, concat('/', event_type) AS path, user_id::VARCHAR AS user FROM events",
+        "casc_ids": f"WITH {P_SQL} SELECT count(*) AS n, count(*) AS ids, 1::BIGINT AS times FROM p",
         "pat_spans": f"WITH {_spans_sql(P_SQL)} SELECT id, pattern_id, b AS begin, e AS end FROM s",
         "pat_united": f"WITH {_spans_sql('p AS (SELECT doc_id AS id, text AS t FROM documents)', _WORDS)} SELECT id AS doc_id, b AS begin, e AS end, n FROM z",
         "pat_redacted": f"""WITH {_spans_sql(P_SQL)}, l AS (SELECT id, lag(e, 1, 0) OVER (PARTITION BY id ORDER BY b) AS a, b, e FROM z), r AS (SELECT id, string_agg(concat(substr(t, a + 1, b - a), '[removed]'), '' ORDER BY b) AS said, max(e) AS e FROM l JOIN p USING (id) GROUP BY id)
