@@ -33,6 +33,12 @@ def headline(spark: SparkSession) -> dict[str, DataFrame]:
 
     t = F.col("text")
     return {
+        # the same work in every round, to tell machines apart; and the scan
+        "constant": spark.range(0, 40_000_000, 1, 16).select(F.sum(F.xxhash64("id") % 7)),
+        "scan": spark.read.parquet(f"{SF}/documents.parquet").select(F.sum(F.length("text"))),
+        "short_prompts_language": short.select(language.gate(t, language.detect(t), Config()).alias("x")),
+        "short_prompts_patterns": patterns.with_repetition(short, "text", "r").select(patterns.layer(t, Config(), repeated=F.col("r")).alias("x")),
+        "short_prompts_heuristics": short.select(heuristics.layer(t, Config()).alias("x")),
         "language": docs.select("id", language.gate(t, language.detect(t), Config()).alias("x")),
         "patterns_without_repetition": docs.select("id", patterns.layer(t, Config(patterns=C.NO_REPETITION)).alias("x")),
         "patterns": patterns.with_repetition(docs, "text", "r").select("id", patterns.layer(t, Config(), repeated=F.col("r")).alias("x")),
