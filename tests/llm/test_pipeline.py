@@ -1,5 +1,8 @@
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
+from textward.llm import queries
 
 CONTRACTS = {
     "op1_": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op2_": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}, "op3_": {"page_id", "url", "text", "n_chars"},
@@ -21,6 +24,21 @@ def test_every_operator_has_one_query_with_its_columns(spark, sf):
         assert columns_of(df) >= columns, prefix
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_is_the_sqls(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    r = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in r.description]
+    df = queries.queries()[name](spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    want = [tuple(dict(zip(names, row, strict=True))[k] for k in sorted(names)) for row in r.fetchall()]
+    assert sorted((tuple(row[k] for k in sorted(names)) for row in df.collect()), key=repr) == sorted(want, key=repr)
+
+
 def columns_of(df):
     return set(df.columns)
 

@@ -114,6 +114,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, quality_rules
+    from . import chat_format, line_dedup, quality_rules, shingle_join, vector_join
 
-    return {"op2_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op4_chat_format": chat_format.SQL, "op6_vector_join": vector_join.SQL, "op7_line_dedup": line_dedup.SQL, "op9_shingle_join": shingle_join.SQL}
