@@ -555,7 +555,9 @@ def bound(pattern: str) -> Bound:
     # a loop after which the expression may end, asserting nothing, succeeds when it is reached
     counted = [k for k in loops if asserted or k not in last]
     if not counted:
-        return Bound("polynomial", 1, 2, _factor(tree)) if _has(tree, "back") else Bound("linear", factor=_factor(tree))
+        own = _factor(tree)
+        # without loops a begin costs the same whatever the text
+        return Bound("polynomial", 1, 2, own) if _has(tree, "back") else Bound("linear", chain=0, factor=own, heads=tuple(heads(pattern)))
     optional = lambda k: g.nodes[k].kind == "repeat" and g.nodes[k].least == 0
 
     def connected(starts: list[int], chars: frozenset[int]) -> set[int]:

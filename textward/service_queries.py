@@ -74,11 +74,12 @@ def _timeouts_sql() -> str:
     n = "length(t)::DOUBLE"
     return rf"""WITH {P_SQL}, l AS (SELECT id, t, lower(t) AS low FROM p),
 m AS (SELECT *, {longest(chr(92) + 's')} AS gap, {longest('z')} AS zs, {longest('a-z')} AS run FROM l),
-o AS (SELECT *, contains(low, 'hello') AND contains(low, 'world') AND {n} + least({n} * gap, {heads} * pow(greatest(gap, 1), 2)) > {BUDGET} AS late1, contains(low, 'z') AND {n} + {n} * pow(2, least(zs, 900)) > {BUDGET} AS late2, {n} * run + least({n}, {n} * greatest(run, 1)) > {BUDGET} AS late3 FROM m),
-h AS (SELECT *, NOT late1 AND regexp_matches(t, 'hello\s*,?\s*world', 'i') AS hit1, NOT late2 AND regexp_matches(t, '(z+)+!', 'i') AS hit2, NOT late3 AND regexp_matches(t, '[a-z]+\d$', 'i') AS hit3, regexp_matches(t, '\bweather\b', 'i') AS hit4 FROM o),
-x AS (SELECT *, late1::INT + late2::INT + late3::INT AS n, greatest(CASE WHEN hit1 THEN 0.7 ELSE 0.0 END, CASE WHEN hit2 THEN 0.85 ELSE 0.0 END, CASE WHEN hit3 OR hit4 THEN 0.5 ELSE 0.0 END)::DOUBLE AS c FROM h)
+o AS (SELECT *, contains(low, 'hello') AND contains(low, 'world') AND {n} + least({n} * gap, {heads} * pow(greatest(gap, 1), 2)) > {BUDGET} AS late1, contains(low, 'z') AND {n} + {n} * pow(2, least(zs, 900)) > {BUDGET} AS late2, {n} * run + least({n}, {n} * greatest(run, 1)) > {BUDGET} AS late3,
+       contains(low, 'weather') AND {n} + (length(low) - length(replace(low, 'weather', ''))) / 7 > {BUDGET} AS late4 FROM m),
+h AS (SELECT *, NOT late1 AND regexp_matches(t, 'hello\s*,?\s*world', 'i') AS hit1, NOT late2 AND regexp_matches(t, '(z+)+!', 'i') AS hit2, NOT late3 AND regexp_matches(t, '[a-z]+\d$', 'i') AS hit3, NOT late4 AND regexp_matches(t, '\bweather\b', 'i') AS hit4 FROM o),
+x AS (SELECT *, late1::INT + late2::INT + late3::INT + late4::INT AS n, greatest(CASE WHEN hit1 THEN 0.7 ELSE 0.0 END, CASE WHEN hit2 THEN 0.85 ELSE 0.0 END, CASE WHEN hit3 OR hit4 THEN 0.5 ELSE 0.0 END)::DOUBLE AS c FROM h)
 SELECT id, concat_ws('|', CASE WHEN hit1 THEN 'Two gaps' END, CASE WHEN hit2 THEN 'Nested' END, CASE WHEN hit3 THEN 'Trailing' END, CASE WHEN hit4 THEN 'Weather' END) AS matched,
-       concat_ws('|', CASE WHEN late1 THEN 'Two gaps' END, CASE WHEN late2 THEN 'Nested' END, CASE WHEN late3 THEN 'Trailing' END) AS timed_out,
+       concat_ws('|', CASE WHEN late1 THEN 'Two gaps' END, CASE WHEN late2 THEN 'Nested' END, CASE WHEN late3 THEN 'Trailing' END, CASE WHEN late4 THEN 'Weather' END) AS timed_out,
        round(greatest(c, CASE WHEN n > 0 THEN 0.3 ELSE 0.0 END), 6)::DOUBLE AS confidence, c > 0 AS is_threat, CASE WHEN hit2 OR hit1 THEN 'LLM01' WHEN c > 0 THEN 'LLM02' END AS category,
        round(CASE WHEN n > 0 THEN least(1.0, 0.4 + n * 0.1) END, 6)::DOUBLE AS signal FROM x"""
 
