@@ -5,9 +5,9 @@ becomes `<\\|`, so that no control string can arise from a text; in roles a newl
 give offsets by a cumulative sum, and headers, contents and trailers are copied into one preallocated Arrow buffer. The loss
 mask is a list of byte spans over the contents of assistant turns.
 
-Turns are dealt by ranges of (conv_id, turn, role, text), so that a long conversation is split, sorted and streamed: the output is
+Turns are dealt by ranges of (conv_id, turn, beginnings of role and text), so that a long conversation is split, sorted and streamed: the output is
 a row for each stretch of at most STRETCH turns, numbered in order. Reading back hashes each conversation's turns one after
-another, as the digest asks, in one task that holds a stretch at a time. A null text or role is empty, a null conv_id is a
+another, as the digest asks, in one task that holds a stretch at a time. A null text or role is empty, a null turn comes first, turns alike are ordered by role and text, a null conv_id is a
 conversation of its own, rows that repeat a turn are turns each, and an empty table gives no rows. Other columns are unused.
 """
 

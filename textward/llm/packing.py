@@ -6,7 +6,8 @@ them. All pieces of a length are alike, so the plan is made on `capacity` counts
 pieces of a length then take its places in turn. A length's pieces are numbered by pre-aggregated counts of (partition,
 length), never by gathering a length in one task.
 
-A null text counts as empty (one piece: the end id). Rows that repeat a doc_id are packed each. An empty table gives no rows.
+A null text counts as empty (one piece: the end id). Rows that repeat a doc_id are packed each, and a null doc_id is kept. An empty
+table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

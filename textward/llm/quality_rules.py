@@ -7,7 +7,7 @@ the spread that chance alone gives hosts of their size is taken off: alike hosts
 hosts that differ a weak one. Counts are pre-aggregated, so that a hot
 host is a row from each task; only the prior's five sums reach the driver. Only DataFrame functions are used.
 
-Words are [^\\x20\\x09-\\x0D]+. A null text has none and fails. A null host is a host of its own. Repeated rows count each.
+Words are [^\\x20\\x09-\\x0D]+. A null text has none and fails. A null doc_id is kept, a null host is a host of its own. Repeated rows count each.
 An empty table gives an empty result. Other columns are not needed.
 """
 

@@ -7,7 +7,7 @@ ranks on both sides. Words over SHORT bytes are merged one by one with a heap. E
 encoded once.
 
 Decoding joins the tokens' strings with a space, as a file without a decoder asks for. A null text is empty, an empty text has
-no ids and decodes to an empty text; rows that repeat are encoded each; an empty table gives no rows; other columns are unused.
+no ids and decodes to an empty text; a null doc_id is kept; rows that repeat are encoded each; an empty table gives no rows; other columns are unused.
 """
 
 from __future__ import annotations
