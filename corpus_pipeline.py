@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes what each returns as Parquet in
 the shared folder and reads it again for the next. All but the last return the columns of documents.
+
+Null and empty texts are scored with the bias alone, fail the quality rules (no words) and so go there. A null doc_id or source stays
+a value of its own; rows that repeat a doc_id are documents each, told apart by their texts, and of rows that are the same throughout the
+Jaccard join keeps one. Of a group of near duplicates the smallest doc_id stays. Empty tables give empty results; further columns are carried along.
 """
 
 from __future__ import annotations
