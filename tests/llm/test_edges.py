@@ -189,6 +189,21 @@ def test_packing_against_the_optimum():
     assert worse <= 6
 
 
+def test_vectors_without_structure_are_written_about_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4_000, 64))
+    x[1::40] = x[::40] + rng.normal(size=(100, 64)) * 0.02
+    written = {}
+    keep = vector_join.saved
+    monkeypatch.setattr(vector_join, "saved", lambda df, what: written.setdefault(what, keep(df, what)))
+    monkeypatch.setattr(vector_join, "BLOCK", 100)
+    got = vector_join.linked(spark.createDataFrame([(k, list(map(float, e))) for k, e in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    assert sorted(r.vec_id for r in got if r.n_links) == sorted([*range(0, 4_000, 40), *range(1, 4_000, 40)])
+    # one cell in 40 blocks: none of its vectors is copied, though each meets all others
+    assert written["blocks"].selectExpr("sum(length(ids)) div 8 AS n").first().n <= vector_join.COPIES * len(x)
+    assert vector_join.choose_pivots(x / np.linalg.norm(x, axis=1, keepdims=True), 1_000_000_000, math.sqrt(0.1)).shape[0] <= 2
+
+
 def test_clustered_vectors_are_dealt_to_many_cells():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))

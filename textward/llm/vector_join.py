@@ -4,9 +4,14 @@ Cosine t is the distance r = sqrt(2 - 2t) between unit vectors. Pivots, a bounde
 vector's home is the nearest pivot's cell. By the triangle inequality in its bisector form, a vector within r of some vector
 at home in cell i lies at most r beyond the bisector of the two pivots, so it is copied to each such cell with a smaller
 number than its own; then every close pair meets in exactly one cell. How many pivots is chosen by cost, estimated on a
-sample: where the data has no structure, replication would outgrow what partitioning saves, and few cells with many blocks
-remain. Cells join independently, block pair by block pair, with float32 products; what is near the threshold is decided in
-double precision. A block pair returns each vector's number of links and a spanning forest, never all its pairs.
+sample, among those whose copies are few beside the pairs they save: where the data has no structure, replication would outgrow what
+partitioning saves, and one cell with many blocks remains.
+
+A cell's vectors are packed into blocks, one row each, those at home apart from the others, and written once. Blocks then meet
+as the cross product of that table with itself, which reads the written blocks again and shuffles nothing: what is
+written grows with the vectors, and only the compared pairs grow with their square. Block pairs that are both away from home are
+left out. Products are in float32; what is near the threshold is decided in double precision. A block pair returns each
+vector's number of links and a spanning forest, never all its pairs.
 
 Equal vectors are first joined into one with a multiplicity, so that copies are counted, not paired. Vectors that are null,
 zero or hold null or non-finite components link with nothing, and vectors of different lengths do not link. A null vec_id
@@ -26,17 +31,15 @@ from pyspark.sql import functions as F
 from .common import saved, ship
 from .components import components
 
-#: Most pivots, vectors in the sample for the choice, vectors in a block, and the cost of copying a vector in compared pairs.
-PIVOTS, SAMPLE, BLOCK, COPY = 256, 2_000, 4_096, 2_000
+#: Most pivots, vectors in the sample for the choice, vectors and bytes in a block, the cost of copying a vector in compared pairs, and
+#: most copies of a vector, on average, that save no pairs.
+PIVOTS, SAMPLE, BLOCK, BYTES, COPY, COPIES = 256, 2_000, 4_096, 4 << 20, 2_000, 1.5
+#: Most files of blocks, whose pairs of partitions are the tasks that compare.
+FILES = 64
 #: Products in float32 are surely right beyond this.
 MARGIN = 2e-5
 
 
-def _unit(rows: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), "<f8").reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def _copies(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Each vector's home, and which cells it is in (its home included)."""
     near = units @ pivots.T
@@ -49,14 +52,16 @@ def _copies(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.nd
 
 
 def choose_pivots(units: np.ndarray, n: int, radius: float) -> np.ndarray:
-    """The pivots with the least estimated cost: compared pairs, and copies in COPY pairs each."""
+    """The pivots with the least estimated cost: compared pairs (of two at home, of one at home with one away), and copies in COPY
+    pairs each. A vector has at most COPIES on average, or as many times more as there are fewer pairs than all."""
     best, found = math.inf, units[:1]
     k = 1
     while k <= min(PIVOTS, len(units)):
         home, inside = _copies(units, units[:k], radius)
         at_home, all_in = np.bincount(home, minlength=k) / len(units), inside.mean(axis=0)
-        cost = n * n * float(at_home @ all_in) / 2 + COPY * n * float(all_in.sum())
-        if cost < best:
+        pairs, copies = float(at_home @ (all_in - at_home / 2)), float(all_in.sum())
+        cost = n * n * pairs + COPY * n * copies
+        if cost < best and copies * 2 * pairs <= COPIES:
             best, found = cost, units[:k]
         k *= 2
     return found
@@ -112,9 +117,10 @@ def linked(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     norm = F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)
     finite = norm.isNotNull() & ~F.isnan(norm) & (norm > 0) & (norm < float("inf")) & F.col("vec_id").isNotNull()
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # kept as they are, in half the bytes
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(finite, e).alias("e"))
     rows = rows.select("vec_id", "e", F.when(F.col("e").isNotNull(), F.xxhash64("e")).alias("a"), F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(1), "e")).alias("b"))
-    distinct = rows.where(F.col("e").isNotNull()).groupBy("a", "b").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("e").alias("e"))
+    distinct = rows.where(F.col("e").isNotNull()).groupBy("a", "b").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("e").cast("array<float>" if single else "array<double>").alias("e"))
     distinct = saved(distinct.withColumn("dim", F.size("e")), "vectors")
     # lengths with more vectors than a block have pivots each; the vectors of any other length are one block
     large = [r["dim"] for r in distinct.groupBy("dim").count().where(F.col("count") > BLOCK).select("dim").collect()]
@@ -136,7 +142,7 @@ def _small_dimensions(distinct: DataFrame, threshold: float) -> DataFrame:
 
     def join(table: pa.Table) -> pa.Table:
         e = table["e"].combine_chunks()
-        flat = e.flatten().to_numpy().reshape(len(e), -1)
+        flat = e.flatten().to_numpy().astype(float).reshape(len(e), -1)
         block = {"ids": table["id"].to_numpy(), "mult": table["mult"].to_numpy(), "home": np.ones(len(e), bool), "unit": flat / np.linalg.norm(flat, axis=1, keepdims=True)}
         ids, links, root = _join_blocks(block, None, threshold)
         return pa.table({"id": ids, "links": links, "root": root})
@@ -151,32 +157,52 @@ def _one_dimension(distinct: DataFrame, dim: int, threshold: float, radius: floa
     units /= np.linalg.norm(units, axis=1, keepdims=True)
     pivots = choose_pivots(units, n, radius)
 
+    kind = "<f4" if distinct.schema["e"].dataType.simpleString() == "array<float>" else "<f8"
+
+    def units_of(raw: np.ndarray) -> np.ndarray:
+        x = raw.reshape(-1, dim).astype(float)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(2).flatten().to_numpy()
-            unit = flat.reshape(-1, dim) / np.linalg.norm(flat.reshape(-1, dim), axis=1, keepdims=True)
-            home, inside = _copies(unit, pivots, radius)
+            home, inside = _copies(units_of(flat), pivots, radius)
             at, cell = np.nonzero(inside)
-            raw = flat.astype("<f8").tobytes()
-            size = 8 * dim
+            raw = flat.astype(kind).tobytes()
+            size = len(raw) // max(len(batch), 1)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[at] == cell), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([raw[size * k : size * (k + 1)] for k in at.tolist()], pa.binary())], ["cell", "home", "id", "mult", "e"])
 
-    dealt = distinct.select("id", "mult", "e").mapInArrow(deal, "cell int, home boolean, id long, mult long, e binary")
-    sizes = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PIVOTS rows
-    blocks = F.element_at(F.create_map(*[F.lit(x) for c, m in sizes.items() for x in (c, -(-m // BLOCK))]), F.col("cell")) if sizes else F.lit(1)
-    own = dealt.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with"))
-    own = own.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "home", "id", "mult", "e")
+    def pack(table: pa.Table) -> pa.Table:
+        ids, mult = (table[c].to_numpy().astype("<i8").tobytes() for c in ("id", "mult"))
+        return pa.table({"cell": table["cell"][:1], "home": table["home"][:1], "block": table["block"][:1], "ids": pa.array([ids], pa.binary()), "mult": pa.array([mult], pa.binary()), "e": pa.array([b"".join(table["e"].to_pylist())], pa.binary())})
 
-    def join(table: pa.Table) -> pa.Table:
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        block = table["block"].to_numpy()
-        data = {"ids": table["id"].to_numpy(), "mult": table["mult"].to_numpy(), "home": table["home"].to_numpy(), "unit": _unit(table["e"].to_pylist(), dim)}
-        pick = lambda b: {k: v[block == b] for k, v in data.items()}
-        ids, links, root = _join_blocks(pick(x), pick(y) if x != y else None, threshold)
-        return pa.table({"id": ids, "links": links, "root": root})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                at = {c: batch.column(k)[row] for k, c in enumerate(batch.schema.names)}
 
-    return own.groupBy("cell", "x", "y").applyInArrow(join, "id long, links long, root long")
+                def block(side: str, at: dict = at) -> dict:
+                    part = lambda c, t: np.frombuffer(at[side + c].as_buffer(), t)
+                    ids = part("ids", "<i8")
+                    return {"ids": ids, "mult": part("mult", "<i8"), "home": np.full(len(ids), at[side + "home"].as_py()), "unit": units_of(part("e", kind))}
+
+                ids, links, root = _join_blocks(block("x_"), None if at["same"].as_py() else block("y_"), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], ["id", "links", "root"])
+
+    dealt = distinct.select("id", "mult", "e").mapInArrow(deal, "cell int, home boolean, id long, mult long, e binary")
+    size = max(1, min(BLOCK, BYTES // (8 * dim)))
+    sizes = {(r["cell"], r["home"]): -(-r["n"] // size) for r in dealt.groupBy("cell", "home").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 * PIVOTS rows
+    blocks = F.element_at(F.create_map(*[F.lit(x) for (c, h), m in sizes.items() for x in (2 * c + h, m)]), 2 * F.col("cell") + F.col("home").cast("int"))
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    # many files, so that many tasks read them: the cross product has a task for each two of a table's partitions
+    own = own.repartition(min(sum(sizes.values()), FILES), "cell", "home", "block").groupBy("cell", "home", "block")
+    packed = saved(own.applyInArrow(pack, "cell int, home boolean, block int, ids binary, mult binary, e binary"), "blocks")
+    x, y = (packed.select(*[F.col(c).alias(side + c) for c in packed.columns]) for side in ("x_", "y_"))
+    # both at home: each pair of blocks once; one at home: that one is x
+    ordered = F.when(F.col("y_home"), F.col("x_block") <= F.col("y_block")).otherwise(True)
+    met = x.where("x_home").join(y.hint("shuffle_replicate_nl"), (F.col("x_cell") == F.col("y_cell")) & ordered)
+    same = F.col("y_home") & (F.col("x_block") == F.col("y_block"))
+    return met.select(same.alias("same"), "x_home", "x_ids", "x_mult", "x_e", "y_home", "y_ids", "y_mult", "y_e").mapInArrow(join, "id long, links long, root long")
 
 
 #: The same result in DuckDB, by comparing all pairs.
