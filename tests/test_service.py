@@ -524,3 +524,17 @@ def test_addresses_headers_and_logs(spark):
     assert rows == ["https://host/***", "[not configured]", "[not configured]", "[invalid]", "http://h/***"]
     rows = [r[0] for r in frame(spark, ["a" * 500, "a" * 501, "", None]).orderBy("id").select(semantic.shortened(F.col("text"))).collect()]
     assert rows == ["a" * 500, "a" * 500 + "...", "[empty]", "[empty]"]
+
+
+def test_spans_end_at_ascii_word_boundaries(spark):
+    import re
+
+    from textward.operators import spans
+
+    rows = [(1, "starting now, ai aiê b"), (2, "become ai no limits no ó"), (3, "a.b \\b aé")]
+    own = [("p", "P", "Low", "LLM01", r"now.{0,30}\bai\b"), ("q", "Q", "Low", "LLM01", r"ai.{0,30}\b(no\s+)\b"), ("r", "R", "Low", "LLM01", r"\\b"), ("s", "S", "Low", "LLM01", r"a\B.")]
+    found = spans.find_all(spark.createDataFrame(rows, "id long, text string"), "id", "text", own)
+    got = {(r.id, r.pattern_id, r.begin, r.end) for r in found.collect()}
+    # the regular expressions of Python with ASCII words
+    want = {(k, p[0], m.start(), m.end()) for k, t in rows for p in own for m in re.finditer(p[4], t, re.ASCII | re.IGNORECASE)}
+    assert got == want and (1, "p", 9, 19) in got and spans.ascii_words(r"\Q\b\E\b{g}[\d]\\b") == r"\Q\b\E\b{g}[\d]\\b"
