@@ -538,3 +538,14 @@ def test_spans_end_at_ascii_word_boundaries(spark):
     # the regular expressions of Python with ASCII words
     want = {(k, p[0], m.start(), m.end()) for k, t in rows for p in own for m in re.finditer(p[4], t, re.ASCII | re.IGNORECASE)}
     assert got == want and (1, "p", 9, 19) in got and spans.ascii_words(r"\Q\b\E\b{g}[\d]\\b") == r"\Q\b\E\b{g}[\d]\\b"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labelled_documents_alone_are_analysed(spark, sf):
+    from textward import catalog_queries
+
+    plan = _plan(catalog_queries.rate_by_label(spark, sf))
+    assert "validation#" not in plan[plan.index("Join Inner") :] and "validation#" in plan
