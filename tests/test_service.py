@@ -549,3 +549,7 @@ def test_labelled_documents_alone_are_analysed(spark, sf):
 
     plan = _plan(catalog_queries.rate_by_label(spark, sf))
     assert "validation#" not in plan[plan.index("Join Inner") :] and "validation#" in plan
+
+
+def test_counters_and_events_come_from_one_run_for_each_policy(spark, sf):
+    assert _plan(service_queries.failed_counters(spark, sf)).count("Relation [") == 2

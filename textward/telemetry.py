@@ -46,12 +46,22 @@ def tags(key: Column, text: Column, telemetry: Telemetry = Telemetry()) -> Colum
     return F.when(v["status"] != "invalid", kept) if telemetry.tracing else F.lit(None).cast("map<string,string>")
 
 
+def _events() -> dict[str, Column]:
+    """Which events an analysis has, in order."""
+    v = F.col("verdict")
+    done = v["status"] == "analyzed"
+    return {"Started": v["status"] != "invalid", "ThreatDetected": done & v["is_threat"] & v["threat_info"].isNotNull(), "Completed": done}
+
+
+def event_counters() -> list[Column]:
+    """Aggregates over analyze()'s output: how many of each event of lifecycle() there are, without a row for each."""
+    return [F.count_if(has).alias(event) for event, has in _events().items()]
+
+
 def lifecycle(df: DataFrame, key: str) -> DataFrame:
     """key, seq and event of every valid text: Started, ThreatDetected where a threat has information, and Completed, which an analysis
     that failed never is."""
-    v = F.col("verdict")
-    done = v["status"] == "analyzed"
-    events = F.array_compact(F.array(F.lit("Started"), F.when(done & v["is_threat"] & v["threat_info"].isNotNull(), "ThreatDetected"), F.when(done, "Completed")))
+    events = F.array_compact(F.array(*[F.when(has, event) for event, has in _events().items()]))
     return only(df, F.col("verdict.status") != "invalid").select(key, F.posexplode(events).alias("seq", "event"))
 
 
