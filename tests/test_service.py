@@ -553,3 +553,8 @@ def test_labelled_documents_alone_are_analysed(spark, sf):
 
 def test_counters_and_events_come_from_one_run_for_each_policy(spark, sf):
     assert _plan(service_queries.failed_counters(spark, sf)).count("Relation [") == 2
+
+
+def test_texts_are_copied_for_listed_grams_only(spark, sf):
+    plan = _plan(service_queries.pat_catalogue(spark, sf))
+    assert "filter(regexp_extract_all" in plan.split("Generate explode(array_distinct(")[1][:60]

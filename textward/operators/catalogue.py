@@ -32,6 +32,8 @@ from textward.shipping import ship
 GRAM = 3
 #: Entries of the list that is told to all tasks: a gram, a literal and an expression each, some hundred bytes.
 BROADCAST = 200_000
+#: Grams that are told in the plan; the texts' others are then dropped before a text is copied for each of its grams.
+NAMED = 2_000
 #: Patterns without literals that are tried in one pass over the texts.
 BLOCK = 200
 #: One text in so many is asked how frequent grams are; this chooses among a literal's grams and changes no result.
@@ -106,7 +108,11 @@ def hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, config: Con
         valid = F.col("_at").isNotNull() & (F.col("valid_from").isNull() | (F.col("_at") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     holds = F.contains(F.col("_low"), F.col("literal"))
     given = given.withColumn("_low", low)
-    own = given.withColumn("gram", F.explode(F.array_distinct(grams(F.col("_low")))))
+    held = grams(F.col("_low"))
+    named = [r["gram"] for r in entries.select("gram").distinct().limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:  # few grams are told in the plan, so that a text is copied for those alone
+        held = F.filter(held, lambda g: g.isin(named)) if named else F.array().cast("array<string>")
+    own = given.withColumn("gram", F.explode(F.array_distinct(held)))
     if n <= broadcast:
         met = own.join(F.broadcast(entries), "gram").where(valid & holds)
     else:
