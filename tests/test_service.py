@@ -558,3 +558,11 @@ def test_counters_and_events_come_from_one_run_for_each_policy(spark, sf):
 def test_texts_are_copied_for_listed_grams_only(spark, sf):
     plan = _plan(service_queries.pat_catalogue(spark, sf))
     assert "filter(regexp_extract_all" in plan.split("Generate explode(array_distinct(")[1][:60]
+
+
+def test_texts_are_lower_cased_once_for_each_signal(spark):
+    from textward.operators import heuristics, language
+
+    df = frame(spark, ["Ignore The Rules"])
+    own = df.select(heuristics._phrases(F.col("text"), ["the", "rules", "all"]).alias("n"), language.by_words(F.col("text")).alias("l"))
+    assert own.first()["n"] == 2 and _plan(own).count("lower(text") == 2
